@@ -11,10 +11,10 @@ WITH RECURSIVE d AS (
   SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
                       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM d
 ), e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
-), both AS (
+), hits AS (
   SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
   FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2
-), links AS (SELECT u, v FROM both WHERE 100 * c >= 85 * (n + m - c)
+), links AS (SELECT u, v FROM hits WHERE 100 * c >= 85 * (n + m - c)
 ), reach AS (SELECT doc_id AS u, doc_id AS v FROM s UNION SELECT r.u, l.v FROM reach r JOIN links l ON r.v = l.u
 ), roots AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY 1)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN roots USING (doc_id)

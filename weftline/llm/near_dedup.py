@@ -6,7 +6,7 @@ smallest value over the set is kept as a 16-bit register: the number of leading
 pass split over buckets), so a text of seven words fills all registers as a long one does.
 
 Documents whose sets are equal collapse to one representative first.  Representatives that agree on all
-registers of a band meet in a bucket; each is compared with the bucket's smallest id.  The number of
+registers of a band meet in a bucket; each is compared with the bucket's smallest id first.  The number of
 equal registers gives a Jaccard estimate corrected for chance collisions; pairs far below the
 threshold go, the others are confirmed on the full sets.  Buckets that then still hold several components
 are compared block by block over all pairs of different components, so a pair that shares any bucket is
@@ -264,7 +264,8 @@ def near_duplicates(
     links = steady(confirmed(steady(near(stars))))
     roots = components(links)
 
-    placed = members.join(roots, members["id"] == roots["node"], "left")
+    # pairs with the bucket's smallest id have been compared: what is left are pairs of the others
+    placed = members.where("id > m").join(roots, members["id"] == roots["node"], "left")
     placed = steady(placed.select("band", "nth", "id", F.coalesce("root", "id").alias("root")))
     spread = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b")
     mixed = steady(placed.join(spread, "band").join(signs, "id"))

@@ -1,8 +1,72 @@
-"""Corpus cleaning as a chain of stages, each a Parquet write and reread."""
+"""Corpus cleaning: language identification, near-duplicate removal, repeated-text removal, decontamination, segmentation.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and rereads it as the
+next one's docs.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weftline.llm import decontamination, language_id, lattice, line_dedup, near_dedup
+from weftline.llm.queries import PIECES
+from weftline.llm.rows import steady
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language a model of these documents accepts."""
+    return language_id.accepted_rows(docs, language_id.fit(docs))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate class: the one of smallest doc_id.  Rows without an id stay."""
+    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(steady(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines and sentences that an earlier one holds; n_chars follows the text."""
+    cut = line_dedup.remove_repeats(docs, line_dedup.repeated_units(docs))
+    return cut.withColumn("n_chars", _length(cut)) if "n_chars" in docs.columns else cut
+
+
+def _length(docs: DataFrame):
+    from pyspark.sql import functions as F
+
+    return F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item.  Rows without an id stay."""
+    found = decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(steady(found.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+
+
+def segment(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document, pieces included."""
+    return lattice.sample_segmentations(docs, lattice.Vocabulary.load(PIECES))
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("near-duplicate removal", drop_near_duplicates),
+    ("repeated-text removal", drop_repeated_units),
+    ("decontamination", drop_contaminated),
+    ("segmentation", segment),
+]
+
+#: language identification is a fitted classifier, which SQL cannot express
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``; intermediate tables lie in ``spark.checkpoint.dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    at = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
+        docs = spark.read.parquet(f"{at}/{i}")
+    return docs

@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.rows import U64, mix, ragged, small_batches, span_hashes, stream, text_chunks
+from weftline.llm.rows import U64, mix, powers, ragged, small_batches, span_hashes, stream, text_chunks
 
 SAMPLES = 2
 SEED = 20260101
 _BYTE = stream(11, 256)
 _STEP = stream(404, 8) | U64(1)
 _PROBE = 20
-_CHUNK = 4 << 20
+_CHUNK = 3 << 20
 
 
 class Vocabulary:
@@ -49,8 +49,11 @@ class Vocabulary:
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
         self.logp = np.array([logp[i] for i in ids.tolist()])[order]
         self.lengths = np.unique(lens)
-        self.probe = np.zeros(1 << _PROBE, bool)
-        self.probe[(self.keys >> U64(64 - _PROBE)).astype(np.int64)] = True
+        # keys are sorted, so those with the same leading bits follow each other: where they begin, -1 for none
+        head = (self.keys >> U64(64 - _PROBE)).astype(np.int64)
+        self.table = np.full(1 << _PROBE, -1, np.int32)
+        self.table[head[::-1]] = np.arange(len(head), dtype=np.int32)[::-1]
+        self.longest = int(np.bincount(head).max())
         self.byte_ids = np.array(byte_ids, np.int32)
         self.fallback = float(self.logp.min()) - 5
         size = int(max(ids.max(initial=0), self.byte_ids.max(initial=0))) + 1
@@ -77,6 +80,20 @@ class Vocabulary:
         zipf -= np.log(np.exp(zipf).sum())
         return cls(pieces, dict(zip(ranked, zipf.tolist(), strict=True)), byte_ids)
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and where those pieces are."""
+        begin = self.table[(keys >> U64(64 - _PROBE)).astype(np.int64)]
+        on = np.flatnonzero(begin >= 0)
+        where, key = begin[on], keys[on]
+        ok = self.keys[where] == key
+        for step in range(1, self.longest):  # pieces that share their leading bits are few
+            late = np.flatnonzero(~ok)
+            further = np.minimum(where[late] + step, len(self.keys) - 1)
+            found = self.keys[further] == key[late]
+            where[late[found]] = further[found]
+            ok[late[found]] = True
+        return on[ok], where[ok]
+
     def decode(self, ids: list[int]) -> str:
         """The text of a piece sequence, without the blank put before it."""
         return b"".join(self.piece_data[self.piece_at[i] : self.piece_at[i] + self.piece_len[i]].tobytes() for i in ids).decode()[1:]
@@ -100,7 +117,9 @@ class Lattice:
         left = lens[unit] - within
         head = (text & 0xC0) != 0x80
         width = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
-        values = _BYTE[text]
+        total = np.zeros(len(text) + 1, U64)
+        np.cumsum(_BYTE[text] * powers("up", len(text) + 1)[: len(text)], out=total[1:])
+        down = powers("down", len(text) + 1)
         at = np.flatnonzero(head)
         single = np.zeros(len(text), bool)
         froms, tos, ids, scores = [], [], [], []
@@ -108,11 +127,9 @@ class Lattice:
             at = at[left[at] >= n]
             if not len(at):
                 break
-            keys = span_hashes(values, at, at + n)
-            maybe = np.flatnonzero(vocabulary.probe[(keys >> U64(64 - _PROBE)).astype(np.int64)])
-            where = np.minimum(np.searchsorted(vocabulary.keys, keys[maybe]), len(vocabulary.keys) - 1)
-            ok = vocabulary.keys[where] == keys[maybe]
-            hit, where = at[maybe[ok]], where[ok]
+            keys = mix((total[at + n] - total[at]) * down[at] + U64(n))  # span_hashes over one running sum
+            maybe, where = vocabulary.find(keys)
+            hit = at[maybe]
             single[hit[width[hit] == n]] = True
             froms.append(slot[hit])
             tos.append(slot[hit] + n)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import codebooks, codecs, deviation, joins, profile
+from weftline.plans import codebooks, codecs, deviation, joins, profile, streams
 from weftline.plans.registry import Query
 
-REGISTRIES = [deviation.R, profile.R, codebooks.R, joins.R, codecs.R]
+REGISTRIES = [deviation.R, profile.R, codebooks.R, joins.R, codecs.R, streams.R]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

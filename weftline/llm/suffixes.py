@@ -200,16 +200,32 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``again`` says that the other occurrence comes first by (doc_id, position).  Words are compared with A-Z
     lower-cased, runs of white space do not matter.  Null ids and texts and shorter texts have none; of
-    rows that repeat a doc_id one is read.  Only doc_id and text are read.
+    rows that repeat a doc_id the largest text is read.  Only doc_id and text are read.
     """
-    if min_words < SPAN + BLOCK + 1:
-        raise ValueError(f"passages of {SPAN + BLOCK + 1} words and more are found")
+    _check(min_words)
+    return _repeats(_base(docs), min_words)
+
+
+def _check(min_words: int) -> None:
+    if min_words < SPAN + BLOCK:
+        raise ValueError(f"passages of {SPAN + BLOCK} words and more are found")
+
+
+def _base(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) without nulls; of rows that repeat a doc_id the largest text."""
     small_batches(docs.sparkSession)
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    twice = steady(base.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if twice.isEmpty():  # so that texts need no shuffle by id
+        return base
+    return base.join(twice, "doc_id", "left_anti").unionAll(of_ids(base, twice, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text")))
+
+
+def _repeats(base: DataFrame, min_words: int) -> DataFrame:
     kind = "b0 long, b1 long, b2 long, b3 long, doc_id long, pos int"
     suffixes = base.mapInArrow(_suffixes(min_words), kind)
     twice = suffixes.groupBy("b0").count().where("count > 1").select("b0")
-    shared = suffixes.join(twice, "b0", "left_semi").dropDuplicates(["doc_id", "pos", "b0"])
+    shared = suffixes.join(twice, "b0", "left_semi")
     order = ["b0", "b1", "b2", "b3", "doc_id", "pos"]
     shared = steady(shared.select(*order))
     pairs = steady(
@@ -228,15 +244,30 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     grouped = pairs.groupBy("x", "y").agg(F.sort_array(F.collect_list(F.struct("x_pos", "y_pos"))).alias("at"))
     grouped = steady(grouped.select("x", "y", F.col("at.x_pos").alias("xs"), F.col("at.y_pos").alias("ys")))
     asked = steady(grouped.select(F.col("x").alias("doc_id")).unionAll(grouped.select("y")).distinct())
-    texts = steady(of_ids(base, asked, "doc_id").mapInArrow(_word_rows, "doc_id long, words binary").dropDuplicates(["doc_id"]))
+    texts = steady(of_ids(base, asked, "doc_id").mapInArrow(_word_rows, "doc_id long, words binary"))
     sides = [texts.select(F.col("doc_id").alias(c), F.col("words").alias(c + "w")) for c in "xy"]
-    both = grouped.join(sides[0], "x").join(sides[1], "y").select("x", "y", "xs", "ys", "xw", "yw")
-    matched = steady(both.mapInArrow(_extend(min_words), "doc_id long, a int, b int, again boolean").distinct())
+    spans = "doc_id long, a int, b int, again boolean"
+
+    def extended(grouped: DataFrame) -> DataFrame:
+        both = grouped.join(sides[0], "x").join(sides[1], "y").select("x", "y", "xs", "ys", "xw", "yw")
+        return steady(both.mapInArrow(_extend(min_words), spans).distinct())
 
-    covered = matched.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+    matched = extended(grouped)
+    covered = matched.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "again")).alias("spans"))
     inside = F.exists("spans", lambda s: (s["a"] <= F.col("pos")) & (F.col("pos") < s["b"]))
-    open_keys = shared.join(covered, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).select("b0").distinct()
-    around = shared.select("b0", "doc_id", "pos").join(open_keys, "b0", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
+    later = F.exists("spans", lambda s: (s["a"] <= F.col("pos")) & (F.col("pos") < s["b"]) & s["again"])
+    no = F.lit(False)
+    marked = shared.select("b0", "doc_id", "pos").join(covered, "doc_id", "left")
+    marked = steady(marked.select("b0", "doc_id", "pos", F.coalesce(inside, no).alias("inside"), F.coalesce(later, no).alias("later")))
+
+    # a match whose neighbours all come later may still not be the first: compare it with its group's first suffix
+    first = marked.groupBy("b0").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
+    heads = marked.where("inside and not later").join(first, "b0").where("f.doc_id < doc_id")
+    heads = heads.groupBy(F.col("f.doc_id").alias("x"), F.col("doc_id").alias("y")).agg(F.sort_array(F.collect_set(F.struct(F.col("f.pos").alias("x_pos"), F.col("pos").alias("y_pos")))).alias("at"))
+    matched = matched.unionAll(extended(heads.select("x", "y", F.col("at.x_pos").alias("xs"), F.col("at.y_pos").alias("ys"))))
+
+    open_keys = marked.where("not inside").select("b0").distinct()
+    around = marked.select("b0", "doc_id", "pos").join(open_keys, "b0", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
     looked = around.join(texts, "doc_id").select("doc_id", "at", "words").mapInArrow(_windows_around(min_words), "h long, doc_id long, a int")
     twice = looked.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l")).where("f < l").drop("l")
     more = looked.join(twice, "h").select("doc_id", "a", (F.col("a") + min_words).alias("b"), F.expr("struct(doc_id, a) > f").alias("again"))
@@ -277,9 +308,10 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     Both are merged character spans [at, end): the passages that occur elsewhere, and those of them with an
     earlier occurrence, which deduplication removes.
     """
-    spans = repeats(docs, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "again")).alias("spans"))
+    _check(min_words)
+    base = _base(docs)
+    spans = _repeats(base, min_words).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "again")).alias("spans"))
     spans = steady(spans)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    own = of_ids(base, steady(spans.select("doc_id")), "doc_id").dropDuplicates(["doc_id"]).join(spans, "doc_id").select("doc_id", "text", "spans")
+    own = of_ids(base, steady(spans.select("doc_id")), "doc_id").join(spans, "doc_id").select("doc_id", "text", "spans")
     struct = "array<struct<at: long, end: long>>"
     return own.mapInArrow(_offsets, f"doc_id long, repeated {struct}, removed {struct}")

@@ -71,16 +71,15 @@ def meta_view(chunk: Chunk, sources: list[str | None], langs: list[str | None])
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 120) -> np.ndarray:
-    """Weights (the last is the bias) by accelerated gradient steps."""
-    z = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    n = len(z)
-    step = 1.0 / (0.25 * float((z * z).sum(axis=1).max()) + ridge)
-    w = np.zeros(z.shape[1])
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float, start: np.ndarray | None = None, rounds: int = 120) -> np.ndarray:
+    """Weights (the last is the bias) by accelerated gradient steps, from zero or from earlier weights."""
+    n = len(x)
+    step = 1.0 / (0.25 * (float(np.einsum("ij,ij->i", x, x).max()) + 1) + ridge)
+    w = np.zeros(x.shape[1] + 1) if start is None else start.copy()
     ahead, t = w.copy(), 1.0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ ahead, -30, 30)))
-        new = ahead - step * (z.T @ (p - y) / n + ridge * ahead)
+        wrong = (1 / (1 + np.exp(-np.clip(margin(x, ahead), -30, 30))) - y) / n
+        new = ahead - step * (np.append(wrong.astype(x.dtype) @ x, wrong.sum()) + ridge * ahead)
         t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
         ahead = new + (before - 1) / t * (new - w)
         w = new
@@ -88,7 +87,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float, rounds: int = 120) -> n
 
 
 def margin(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return x @ w[:-1] + w[-1]
+    return x @ w[:-1].astype(x.dtype) + w[-1]
 
 
 def platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -128,10 +127,11 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
     views, pools, ridges = (text, meta), (pool_text, pool_meta), (1e-5, 1e-4)
     taken = []
 
-    def fit(v: int) -> np.ndarray:
+    def fit(v: int, start: np.ndarray | None = None) -> np.ndarray:
         at = list(extra[v])
         x = np.concatenate([views[v][own], pools[v][at]]) if at else views[v][own]
-        return logistic(x, np.concatenate([y[own], [extra[v][i] for i in at]]) if at else y[own], ridges[v])
+        told = np.concatenate([y[own], [extra[v][i] for i in at]]) if at else y[own]
+        return logistic(x, told, ridges[v], start, 120 if start is None else 40)
 
     weights = [fit(0), fit(1)]
     good = float(np.clip(y[own].mean(), 0.01, 0.99)) if own.any() else 0.5
@@ -147,7 +147,7 @@ def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nda
             extra[1 - v] |= {**dict.fromkeys(low, 0.0), **dict.fromkeys(high, 1.0)}
             counts.append(len(low) + len(high))
         taken.append(tuple(counts))
-        weights = [fit(0), fit(1)]
+        weights = [fit(0, weights[0]), fit(1, weights[1])]
     marks = [platt(margin(views[v][aside], weights[v]), y[aside]) for v in (0, 1)]
     return Model(weights[0], weights[1], marks[0], marks[1], taken)
 

@@ -21,6 +21,81 @@ SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id =
 """
 
 
+_SPACE = r"[\x20\x09-\x0D]"
+_FOLDED = f"translate({{}}, '{UPPER}', '{LOWER}')"
+
+CHAT_FORMAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), s AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '\\|</?s>|\[/?(?:SYS|INST|REPLY)\]|\[ROLE:|\[/ROLE\]')) +
+    CASE role WHEN 'user' THEN 20 WHEN 'assistant' THEN 22 WHEN 'system' THEN 18 ELSE 21 + length(role) + len(regexp_extract_all(role, '[\\<>\[\]]')) END AS chars FROM c
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM s GROUP BY conv_id
+"""
+
+REPEATED_UNITS = rf"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL
+), lo AS (SELECT doc_id, i, s, sum(length(s) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(s) - 1 AS o FROM l
+), p AS (SELECT doc_id, i, o, string_split(regexp_replace(s, '([.!?])({_SPACE})', '\1' || chr(1) || '\2', 'g'), chr(1)) AS ps FROM lo
+), q AS (SELECT doc_id, i, o, unnest(ps) AS s, generate_subscripts(ps, 1) AS j FROM p
+), so AS (SELECT doc_id, s, o + sum(length(s)) OVER (PARTITION BY doc_id, i ORDER BY j) - length(s) AS o FROM q
+), u AS (
+  SELECT doc_id, s, o, 5 AS least FROM lo UNION ALL SELECT doc_id, s, o, 10 FROM so
+), k AS (
+  SELECT doc_id, least, regexp_extract_all({_FOLDED.format("s")}, '[^\x20\x09-\x0D]+') AS w, CAST(o + length(regexp_extract(s, '^{_SPACE}*')) AS BIGINT) AS a,
+    CAST(o + length(s) - length(regexp_extract(s, '{_SPACE}*$')) AS BIGINT) AS b FROM u
+), d AS (SELECT DISTINCT doc_id, array_to_string(w, ' ') AS key, a, b FROM k WHERE len(w) >= least
+), f AS (SELECT *, min({{'d': doc_id, 'a': a}}) OVER (PARTITION BY key) AS first FROM d
+), cut AS (SELECT DISTINCT doc_id, a, b FROM f WHERE {{'d': doc_id, 'a': a}} > first
+), g AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS upto FROM cut
+), h AS (SELECT *, sum(CASE WHEN a > upto THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b) AS run FROM g
+), m AS (SELECT doc_id, run, min(a) AS a, max(b) AS b, count(*) AS n FROM h GROUP BY ALL)
+SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_units, CAST(sum(b - a) AS BIGINT) AS removed_chars, string_agg(a || '-' || b, ',' ORDER BY a) AS removed FROM m GROUP BY doc_id
+"""
+
+
+def _template(table: str, key: str, name: str) -> str:
+    from weftline.llm import decontamination as D
+
+    q, n, m = (D.SLOTS[k] for k in ("quantity", "number", "name"))
+    quantity, number, person = (x.replace("'", "''") for x in (D.QUANTITY, D.NUMBER, D.NAME))
+    return rf"""{name}1 AS (SELECT {key} AS key, text, regexp_replace(text, '{quantity}', ' {q} ', 'g') AS t1 FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL
+), {name}2 AS (SELECT *, regexp_replace(t1, '{number}', ' {n} ', 'g') AS t2 FROM {name}1
+), {name} AS (SELECT key, list_filter(string_split_regex(lower(regexp_replace(t2, '{person}', '\1 {m} ', 'g')), '[\s\x0B[:punct:]]+'), lambda t: t <> '') AS toks,
+  regexp_extract_all(text, '{quantity}', 0) AS vq, regexp_extract_all(t1, '{number}', 0) AS vn, regexp_extract_all(t2, '{person}', 2) AS vm FROM {name}2)"""
+
+
+def _slot(p: str, at: str) -> str:
+    k = f"{p}toks[{at}]"
+    nth = f"len(list_filter({p}toks[1:{at}], lambda t: t = {k}))"
+    value = f"CASE {k} WHEN 'ⓠ' THEN {p}vq[{nth}] WHEN 'ⓝ' THEN {p}vn[{nth}] ELSE {p}vm[{nth}] END"
+    return f"CASE WHEN {k} IN ('ⓠ', 'ⓝ', 'ⓜ') THEN {k} || lower({value}) END"
+
+
+def decontamination_sql() -> str:
+    """For benchmarks whose items all have a window's tokens."""
+    return f"""
+WITH {_template("documents", "doc_id", "d")}, {_template("benchmark", "item_id", "b")}, dw AS (
+  SELECT key AS doc_id, i AS doc_at, array_to_string(toks[i + 1:i + 8], ' ') AS w FROM (SELECT key, toks, unnest(range(len(toks) - 7)) AS i FROM d)
+), bw AS (
+  SELECT DISTINCT item_id, item_at, array_to_string(x, ' ') AS w FROM (SELECT key AS item_id, i AS item_at, toks[i + 1:i + 8] AS x FROM (SELECT key, toks, unnest(range(len(toks) - 7)) AS i FROM b))
+  WHERE len(list_filter(x, lambda t: t IN ('ⓠ', 'ⓝ', 'ⓜ'))) * 2 <= 8
+), l AS (SELECT doc_id, item_id, doc_at - item_at AS shift, count(DISTINCT item_at) AS n_windows, min(item_at) AS a, max(item_at) AS z FROM dw JOIN bw USING (w) GROUP BY ALL
+), c AS (SELECT l.*, n_windows / (len(b.toks) - 7) AS coverage FROM l JOIN b ON l.item_id = b.key WHERE n_windows / (len(b.toks) - 7) >= 0.5 OR n_windows >= 20
+), e AS (SELECT c.*, unnest(range(a + 1, z + 9)) AS p FROM c
+), s AS (SELECT e.doc_id, e.item_id, e.shift, n_windows, coverage, {_slot("b.", "p")} AS x, {_slot("d.", "(p + shift)")} AS y FROM e JOIN d ON e.doc_id = d.key JOIN b ON e.item_id = b.key
+), j AS (
+  SELECT doc_id, item_id, shift, n_windows, coverage, count(DISTINCT x || chr(1) || y) AS pairs, count(DISTINCT CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN x END) AS n_slots,
+    coalesce(bool_and(x = y) FILTER (x IS NOT NULL AND y IS NOT NULL), true) AS verbatim FROM s GROUP BY ALL
+), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, shift) AS place FROM j WHERE pairs = n_slots)
+SELECT doc_id, item_id, n_windows, coverage, n_slots, verbatim FROM k WHERE place = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    found = {"op1_near_dedup": NEAR_DEDUP}
-    return found
+    return {"op1_near_dedup": NEAR_DEDUP, "op3_decontamination": decontamination_sql(), "op5_chat_format": CHAT_FORMAT, "op9_repeated_units": REPEATED_UNITS}

@@ -68,7 +68,9 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeated_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines and sentences that deduplication removes, with their original offsets."""
-    return line_dedup.removals(line_dedup.repeated_units(_table(spark, sf_dir, "documents")))
+    found = line_dedup.removals(line_dedup.repeated_units(_table(spark, sf_dir, "documents")))
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["at"].cast("string"), s["end"].cast("string")))
+    return found.withColumn("removed", F.array_join(spans, ","))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,9 @@ _BYTE = stream(11, 256)
 _STEP = stream(404, 8) | U64(1)
 _PROBE = 20
 _CHUNK = 3 << 20
+#: log-probability of a prefix below which its siblings are left out: one of them would be among the samples with a
+#: chance below 1e-30.  Steps looked at first.
+_NEGLIGIBLE, _AHEAD = -80.0, 256
 
 
 class Vocabulary:
@@ -231,16 +234,23 @@ class _Path:
     def __init__(self, edges: np.ndarray, units: np.ndarray, value: float, lattice: Lattice, key: np.uint64, fresh: int):
         self.edges, self.units, self.value = edges, units, value
         share = lattice.log_share[edges]
-        self.upto = np.cumsum(share) - share
         self.logp = float(share.sum())
-        self.siblings = np.full(len(edges), -np.inf)
+        n = min(_AHEAD, len(edges))
+        while True:  # as far as the prefix keeps any probability to speak of
+            self.upto = np.cumsum(share[:n]) - share[:n]
+            if n == len(edges) or self.upto[-1] < _NEGLIGIBLE:
+                break
+            n = min(2 * n, len(edges))
+        n = max(int(np.searchsorted(-self.upto, -_NEGLIGIBLE)), min(fresh, n), 1)
+        self.siblings = np.full(min(n, len(edges)), -np.inf)
         self.used: dict[int, list[int]] = {}
-        if fresh < len(edges):
+        if fresh < len(self.siblings):
+            part = share[fresh : len(self.siblings)]
             with np.errstate(divide="ignore"):
-                rest = np.log(np.maximum(-np.expm1(share[fresh:]), 0.0))
-            rest[share[fresh:] > -1e-12] = -np.inf
-            noise = _uniform(key + np.arange(fresh, len(edges), dtype=U64) * _STEP[1], 0)
-            self.siblings[fresh:] = _below(value, self.upto[fresh:] + rest, noise)
+                rest = np.log(np.maximum(-np.expm1(part), 0.0))
+            rest[part > -1e-12] = -np.inf
+            noise = _uniform(key + np.arange(fresh, len(self.siblings), dtype=U64) * _STEP[1], 0)
+            self.siblings[fresh:] = _below(value, self.upto[fresh : len(self.siblings)] + rest, noise)
 
 
 def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple]]:

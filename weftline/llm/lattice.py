@@ -32,7 +32,7 @@ SEED = 20260101
 _BYTE = stream(11, 256)
 _STEP = stream(404, 8) | U64(1)
 _PROBE = 20
-_CHUNK = 3 << 20
+_CHUNK = 3 << 19
 #: log-probability of a prefix below which its siblings are left out: one of them would be among the samples with a
 #: chance below 1e-30.  Steps looked at first.
 _NEGLIGIBLE, _AHEAD = -80.0, 256

@@ -2,6 +2,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -45,7 +46,7 @@ def rows_of(frame):
     """Rows of a pandas frame as comparable tuples, in an order of their own."""
 
     def plain(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or v != v:
             return "null"
         if hasattr(v, "tolist"):
             v = v.tolist()

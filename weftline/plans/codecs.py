@@ -531,13 +531,14 @@ def srt_results(spark, sf):
     return table(spark, sf, "part").orderBy("p_retailprice", "p_size", "p_partkey").limit(100).select("p_partkey", "p_size", "p_retailprice")
 
 
-@R.query("SELECT prefix, layer, row_number() OVER (ORDER BY layer ASC NULLS LAST, prefix) AS place FROM (SELECT DISTINCT CASE WHEN p_size > 45 THEN 'embed.' ELSE 'layers.' END || p_size AS prefix, CASE WHEN p_size > 45 THEN NULL ELSE p_size END AS layer FROM part)")
+@R.query("SELECT prefix, coalesce(layer, -1) AS layer, row_number() OVER (ORDER BY layer ASC NULLS LAST, prefix) AS place FROM (SELECT DISTINCT CASE WHEN p_size > 45 THEN 'embed.' ELSE 'layers.' END || p_size AS prefix, CASE WHEN p_size > 45 THEN NULL ELSE p_size END AS layer FROM part)")
 def srt_layers(spark, sf):
     from pyspark.sql import Window
 
     n = F.col("p_size")
     p = table(spark, sf, "part").select(F.concat(F.when(n > 45, "embed.").otherwise("layers."), n.cast("string")).alias("prefix"), F.when(n <= 45, n).alias("layer")).distinct()
-    return p.withColumn("place", F.row_number().over(Window.orderBy(F.col("layer").asc_nulls_last(), "prefix")).cast("long"))
+    place = F.row_number().over(Window.orderBy(F.col("layer").asc_nulls_last(), "prefix")).cast("long")  # one row a layer
+    return p.withColumn("place", place).withColumn("layer", F.coalesce("layer", F.lit(-1)))
 
 
 @R.query("SELECT p_partkey AS tensor, CAST(p_size AS BIGINT) * 4 AS bytes FROM part ORDER BY bytes DESC, tensor LIMIT 20")

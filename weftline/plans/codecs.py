@@ -551,3 +551,55 @@ def src_resolve_file_dir(spark, sf):
     """Files found below a folder, sorted; what they hold."""
     files = T.resolve(written(spark, sf))
     return T.inventory(spark, ",".join(files)).agg(F.count("*").alias("tensors"))
+
+
+@R.query("SELECT 1::BIGINT AS roots, count(*) AS tensors FROM embeddings")
+def src_resolve_root(spark, sf):
+    """The folder that holds the files found, and what they hold."""
+    files = T.inventory(spark, written(spark, sf))
+    return files.agg(F.count_distinct(F.regexp_extract("file", "^(.*)/", 1)).alias("roots"), F.count("*").alias("tensors"))
+
+
+@R.query("SELECT vec_id AS tensor, label, round(list_sum([CAST(t AS DOUBLE) FOR t IN embedding]), 6) AS total FROM embeddings")
+def src_npz_decode(spark, sf):
+    """Rows as NPZ archives with JSON metadata, and back."""
+    from weftline.sources import npz
+
+    rows = matrix(spark, sf).withColumn("metadata", F.to_json(F.struct("label")))
+    back = npz.decode(npz.encode(rows), "tensor")
+    return back.select("tensor", F.get_json_object("metadata", "$.label").cast("int").alias("label"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@R.query("SELECT tensor, flat_index, e AS exponent FROM (SELECT vec_id AS tensor, CAST(i AS BIGINT) AS flat_index, CAST(floor(log2(abs(CAST(embedding[i + 1] AS DOUBLE)))) + 127 AS BIGINT) AS e FROM (SELECT *, unnest(range(64)) AS i FROM embeddings) WHERE embedding[i + 1] <> 0)")
+def fn_bit_pattern(spark, sf):
+    """The exponent field of each value's raw bits."""
+    from weftline.operators import profile as P
+
+    w = weights(matrix(spark, sf)).where("value <> 0").select("tensor", "flat_index", "value")
+    return P.bit_patterns(w).select("tensor", "flat_index", (F.shiftright("bits", 23).bitwiseAND(F.lit(255))).alias("exponent"))
+
+
+@R.query(f"WITH {W} SELECT tensor, flat_index, CAST(2 AS INTEGER) AS n_bytes, round(CAST({fp16('value')} AS DOUBLE), 9) AS back FROM w")
+def fn_fp16_pack(spark, sf):
+    """Values as two little-endian bytes, and back."""
+
+    def run(batches):
+        for batch in batches:
+            halves = batch.column(2).to_numpy(zero_copy_only=False).astype("<f2")
+            data = [h.tobytes() for h in halves]
+            back = np.frombuffer(b"".join(data), "<f2").astype(np.float64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(d) for d in data], pa.int32()), pa.array(back)], ["tensor", "flat_index", "n_bytes", "back"])
+
+    w = weights(matrix(spark, sf)).select("tensor", "flat_index", "value").mapInArrow(run, "tensor long, flat_index long, n_bytes int, back double")
+    return w.withColumn("back", F.round("back", 9))
+
+
+@R.query(f"WITH {W} SELECT tensor, flat_index, round(CAST({fp16('value')} AS DOUBLE), 9) AS half FROM w WHERE flat_index < 8")
+def fn_cast_fp16(spark, sf):
+    return weights(matrix(spark, sf)).where("flat_index < 8").select("tensor", "flat_index", F.round(N.fp16("value").cast("double"), 9).alias("half"))
+
+
+@R.query("SELECT p_partkey, CAST(p_partkey % 80 AS INTEGER) AS layer FROM part")
+def fn_layer_index(spark, sf):
+    name = F.concat(F.lit("model.layers."), (F.col("p_partkey") % 80).cast("string"), F.lit(".mlp.gate_proj.weight"))
+    return table(spark, sf, "part").select("p_partkey", F.regexp_extract(name, r"(?:^|\.)layers\.(\d+)\.mlp(?:\.|$)", 1).cast("int").alias("layer"))

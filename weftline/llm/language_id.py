@@ -24,6 +24,8 @@ SAMPLE = 4000
 #: centroids per language
 CENTROIDS = 4
 UNKNOWN = "und"
+#: documents whose counts are held at once (32 kB each)
+ROWS = 256
 
 _FOLD = np.full(256, 0x20, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -90,7 +92,7 @@ def unit_vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(DIMS, np.int64), 0
     for batch in batches:
-        for chunk in text_chunks(batch.column(0)):
+        for chunk in text_chunks(batch.column(0), rows=ROWS):
             total += (counts(chunk) > 0).sum(axis=0)
             n += len(chunk)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, DIMS)), pa.array(np.concatenate([[n], total]))], ["feature", "df"])
@@ -98,7 +100,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for chunk in text_chunks(batch.column(1)):
+        for chunk in text_chunks(batch.column(1), rows=ROWS):
             tf = counts(chunk)
             rows, features = np.nonzero(tf)
             per = np.bincount(rows, minlength=len(chunk))
@@ -198,7 +200,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.column(1)):
+            for chunk in text_chunks(batch.column(1), rows=ROWS):
                 lang, score, cosine, accepted = shared.value.predict(chunk)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(chunk.first, len(chunk)), pa.array(lang, pa.string()), pa.array(score), pa.array(cosine), pa.array(accepted)],
@@ -222,7 +224,7 @@ def accepted_rows(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [shared.value.predict(chunk)[3] for chunk in text_chunks(batch.column(at))]
+            keep = [shared.value.predict(chunk)[3] for chunk in text_chunks(batch.column(at), rows=ROWS)]
             yield batch.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,6 +29,7 @@ from weftline.llm.graph import components
 from weftline.llm.rows import (
     U64,
     blobs,
+    give_back,
     mix,
     of_ids,
     shingle_sets,
@@ -164,6 +165,7 @@ def _confirm(percent: int):
                 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+            give_back()
 
     return run
 
@@ -212,12 +214,13 @@ def _cross(k: int, rows: int, least: float, percent: int):
                             us.append(max(xi[i], yi[j]))
                             vs.append(min(xi[i], yi[j]))
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+            give_back()
 
     return run
 
 
 def near_duplicates(
-    docs: DataFrame, percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS, block: int = 1024
+    docs: DataFrame, percent: int = 85, width: int = 5, bands: int = BANDS, rows: int = ROWS, block: int = 256
 ) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs`` (doc_id, text, ...).
 

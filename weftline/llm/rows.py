@@ -8,6 +8,7 @@ which bounds the memory of a worker.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,8 +74,21 @@ class Chunk:
         return len(self.bounds) - 1
 
 
-def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Chunks of a string column; a null counts as an empty text."""
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task, and others share its machine."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, rows: int = 1 << 20) -> Iterator[Chunk]:
+    """Chunks of a string column, of about ``limit`` bytes and at most ``rows`` texts; a null counts as an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not pa.types.is_large_string(column.type):
@@ -89,9 +103,10 @@ def text_chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) ->
     data = np.frombuffer(buffers[2], np.uint8) if buffers[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
+        to = min(at + rows, max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1))
         yield Chunk(at, data[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at])
         at = to
+    give_back()
 
 
 def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

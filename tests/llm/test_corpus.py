@@ -432,6 +432,24 @@ def test_many_suffixes_in_one_group(spark):
     assert len(got) == 300 and sum(bool(r.removed) for r in got) >= 290
 
 
+def test_every_repeated_window_and_its_first_occurrence(spark):
+    """Left parts that only a suffix far off in the order shares, and later copies between other neighbours."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(20):
+        mid, lefts, rights = prose(rng, 60), [prose(rng, 14) for _ in range(2)], [prose(rng, 40) for _ in range(2)]
+        texts += [[*prose(rng, 9), *left, *mid, *right, *prose(rng, 5)] for left in lefts for right in rights]
+    rng.shuffle(texts)
+    seen = defaultdict(list)
+    for i, w in enumerate(texts):
+        for a in range(len(w) - 49):
+            seen[tuple(w[a : a + 50])].append((i, a))
+    want, later = ({(i, p) for v in seen.values() if len(v) > 1 for i, a in v[k:] for p in range(a, a + 50)} for k in (0, 1))
+    spans = suffixes.repeats(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {(r.doc_id, p) for r in spans for p in range(r.a, r.b)} == want
+    assert {(r.doc_id, p) for r in spans if r.again for p in range(r.a, r.b)} == later
+
+
 # 9
 
 

@@ -8,8 +8,9 @@ are range-partitioned and sorted by these blocks; neighbours with an equal first
 documents' words and extended to the left and right as far as they agree.  Matches of ``min_words`` words count.
 
 A neighbour in suffix order has the longest common continuation, but another suffix may agree further to the
-left.  So where a kept suffix shares its first block yet lies in no match, the windows of ``min_words`` words
-around it and around all suffixes with that block are grouped by hash: any passage that occurs twice is found.
+left.  So the windows of ``min_words`` words around all suffixes that share their first block are grouped by
+hash, except those inside a match whose other side comes first: these are settled, and a window's first
+occurrence is never among them.  Any passage that occurs twice is found, and told from its first occurrence.
 
 A range partition may end inside a group of equal suffixes, so a group of any size is dealt over tasks; the
 first and last row of each partition are compared afterwards.
@@ -154,26 +155,37 @@ def common_runs(x: np.ndarray, y: np.ndarray, anchors: list[tuple[int, int]], le
 
 
 def _windows_around(min_words: int):
-    """(doc_id, positions, words) to the hashes of the windows that hold a suffix's first block."""
+    """(doc_id, positions, matches, words) to the hashes of the windows that hold a suffix's first block and lie
+    in no match whose other side comes first; ``known`` are those inside another match."""
+
+    def covered(spans: list[dict], n: int) -> np.ndarray:
+        mark = np.zeros(n + 1, np.int64)
+        for s in spans:
+            mark[s["a"]] += 1
+            mark[s["b"] - min_words + 1] -= 1
+        return np.cumsum(mark)[:n] > 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, starts, counts = [], [], []
+            hashes, starts, counts, inside = [], [], [], []
             for i in range(batch.num_rows):
-                at, own = batch.column(1)[i].as_py(), np.frombuffer(batch.column(2)[i].as_py(), np.uint32).astype(U64)
+                at, spans = np.array(batch.column(1)[i].as_py(), np.int64), batch.column(2)[i].as_py() or []
+                own = np.frombuffer(batch.column(3)[i].as_py(), np.uint32).astype(U64)
+                n = max(0, len(own) - min_words + 1)
                 mark = np.zeros(len(own) + 1, np.int64)
-                for p in at:
-                    mark[max(0, p - SPAN + 1)] += 1
-                    mark[p + 1] -= 1
-                start = np.flatnonzero(np.cumsum(mark)[: max(0, len(own) - min_words + 1)])
+                np.add.at(mark, np.maximum(0, at - SPAN + 1), 1)
+                np.add.at(mark, at + 1, -1)
+                start = np.flatnonzero((np.cumsum(mark)[:n] > 0) & ~covered([s for s in spans if s["again"]], n))
                 hashes.append(span_hashes(mix(own), start, start + min_words))
                 starts.append(start)
                 counts.append(len(start))
+                inside.append(covered(spans, n)[start])
             if counts:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(np.concatenate(starts).astype(np.int32))],
-                    ["h", "doc_id", "a"],
-                )
+                    [pa.array(np.concatenate(hashes).view(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts))), pa.array(np.concatenate(starts).astype(np.int32)),
+                     pa.array(np.concatenate(inside))],
+                    ["h", "doc_id", "a", "known"],
+                )
 
     return run
 
@@ -248,30 +260,17 @@ def _repeats(base: DataFrame, min_words: int) -> DataFrame:
     sides = [texts.select(F.col("doc_id").alias(c), F.col("words").alias(c + "w")) for c in "xy"]
     spans = "doc_id long, a int, b int, again boolean"
 
-    def extended(grouped: DataFrame) -> DataFrame:
-        both = grouped.join(sides[0], "x").join(sides[1], "y").select("x", "y", "xs", "ys", "xw", "yw")
-        return steady(both.mapInArrow(_extend(min_words), spans).distinct())
+    both = grouped.join(sides[0], "x").join(sides[1], "y").select("x", "y", "xs", "ys", "xw", "yw")
+    matched = steady(both.mapInArrow(_extend(min_words), spans).distinct())
 
-    matched = extended(grouped)
     covered = matched.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b", "again")).alias("spans"))
-    inside = F.exists("spans", lambda s: (s["a"] <= F.col("pos")) & (F.col("pos") < s["b"]))
-    later = F.exists("spans", lambda s: (s["a"] <= F.col("pos")) & (F.col("pos") < s["b"]) & s["again"])
-    no = F.lit(False)
-    marked = shared.select("b0", "doc_id", "pos").join(covered, "doc_id", "left")
-    marked = steady(marked.select("b0", "doc_id", "pos", F.coalesce(inside, no).alias("inside"), F.coalesce(later, no).alias("later")))
-
-    # a match whose neighbours all come later may still not be the first: compare it with its group's first suffix
-    first = marked.groupBy("b0").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
-    heads = marked.where("inside and not later").join(first, "b0").where("f.doc_id < doc_id")
-    heads = heads.groupBy(F.col("f.doc_id").alias("x"), F.col("doc_id").alias("y")).agg(F.sort_array(F.collect_set(F.struct(F.col("f.pos").alias("x_pos"), F.col("pos").alias("y_pos")))).alias("at"))
-    matched = matched.unionAll(extended(heads.select("x", "y", F.col("at.x_pos").alias("xs"), F.col("at.y_pos").alias("ys"))))
-
-    open_keys = marked.where("not inside").select("b0").distinct()
-    around = marked.select("b0", "doc_id", "pos").join(open_keys, "b0", "left_semi").groupBy("doc_id").agg(F.collect_set("pos").alias("at"))
-    looked = around.join(texts, "doc_id").select("doc_id", "at", "words").mapInArrow(_windows_around(min_words), "h long, doc_id long, a int")
-    twice = looked.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l")).where("f < l").drop("l")
-    more = looked.join(twice, "h").select("doc_id", "a", (F.col("a") + min_words).alias("b"), F.expr("struct(doc_id, a) > f").alias("again"))
-    return matched.unionAll(more)
+    around = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("at")).join(covered, "doc_id", "left")
+    looked = around.join(texts, "doc_id").select("doc_id", "at", "spans", "words").mapInArrow(_windows_around(min_words), "h long, doc_id long, a int, known boolean")
+    # the largest position of a text that repeats itself must lie clear of the first, as in matches
+    twice = looked.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l"))
+    twice = twice.where(f"f.doc_id < l.doc_id or f.a + {min_words} <= l.a").drop("l")
+    more = looked.join(twice, "h").select("doc_id", "a", (F.col("a") + min_words).alias("b"), F.expr(f"f.doc_id < doc_id or f.a + {min_words} <= a").alias("again"), "known")
+    return matched.unionAll(more.where("again or not known").drop("known"))
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

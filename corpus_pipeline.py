@@ -9,8 +9,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm import decontamination, language_id, lattice, line_dedup, near_dedup
+from weftline.llm import decontamination, language_id, lattice, line_dedup, near_dedup, suffixes
 from weftline.llm.queries import PIECES
 from weftline.llm.rows import steady
 
@@ -27,14 +28,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_units(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines and sentences that an earlier one holds; n_chars follows the text."""
-    cut = line_dedup.remove_repeats(docs, line_dedup.repeated_units(docs))
+    """Documents without the lines, sentences and passages of 50 words that occur earlier; n_chars follows the text."""
+    cuts = line_dedup.repeated_units(docs).select("doc_id", "at", "end")
+    passages = suffixes.passages(docs).select("doc_id", F.explode("removed").alias("s")).select("doc_id", "s.at", "s.end")
+    cut = line_dedup.remove_repeats(docs, cuts.unionAll(passages))
     return cut.withColumn("n_chars", _length(cut)) if "n_chars" in docs.columns else cut
 
 
 def _length(docs: DataFrame):
-    from pyspark.sql import functions as F
-
     return F.when(F.col("text").isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
 
 

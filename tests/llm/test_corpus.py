@@ -522,6 +522,27 @@ def test_pipeline(spark, data):
     assert P.run(spark, data).count() == seen[4].count()
 
 
+def test_pipeline_cuts_passages_of_short_units(spark, data):
+    """Repeated passages of short sentences and short lines, and one that begins and ends inside a sentence."""
+    import corpus_pipeline as P
+
+    rng = random.Random(12)
+    w = prose(rng, 180)
+    short = " ".join(" ".join(w[i : i + 4]) + "." for i in range(0, 60, 4))
+    lines = "\n".join(" ".join(w[i : i + 3]) for i in range(60, 120, 3))
+    inner = " ".join(w[120:])
+    own = lambda: " ".join(prose(rng, 15))
+    rows = [(10 * k + i, f"{own()} {p} {own()}") for i, p in enumerate((short, lines, inner)) for k in (1, 2)]
+    text = dict(rows)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], KIND)
+    left = {r.doc_id: r for r in P.drop_repeated_units(spark, docs, data).collect()}
+    assert len(left) == 6
+    for i in range(3):
+        before, now = words_of(text[20 + i]), words_of(left[20 + i].text)
+        assert left[10 + i].text == text[10 + i] and left[20 + i].n_chars == len(left[20 + i].text)
+        assert len(before) == 90 and set(now) <= set(before[:15] + before[-15:]) and len(now) >= 28
+
+
 def test_words_and_hashes_are_position_free():
     import pyarrow as pa
 

@@ -201,6 +201,18 @@ def test_leaks_verbatim_and_with_other_values(spark, messy, empty):
     assert decontamination.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_leaks_of_items_full_of_numbers(spark):
+    sums, table = "Compute 12 + 7 - 5 * 3 / 2 + 9", "Add 4, 8, 15, 16, 23, 42, 4, 8, 99 and then 3 5 7 11 13"
+    bench = spark.createDataFrame([(1, sums), (2, table)], "item_id long, text string")
+    rng = random.Random(3)
+    other = lambda: " ".join(prose(rng, 12))
+    texts = [f"{other()} 31 {other()}. {sums} {other()}", f"{other()}. {sums.replace('3', '4')} {other()}", f"{table}", f"{other()} 5 6 {table} 7 {other()}", f"{other()}. {table.replace('8', '6').replace('11', '12')}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.leaks(docs, bench).collect()}
+    assert {(0, 1), (2, 2), (3, 2)} == set(got)
+    assert all(r.verbatim and r.coverage == 1 for r in got.values())
+
+
 def test_leaks_find_every_planted_item(spark, data):
     got = {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, data).collect()}
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()

@@ -56,6 +56,23 @@ def _windows(tokens: Column, width: int) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(tokens, i, width))))
 
 
+def _exact_windows(tokens: Column, values: Column, width: int) -> Column:
+    """(at, hash) of the windows in which placeholders prevail, hashed with the values they stand for."""
+    n = F.size(tokens) - width + 1
+
+    def count(part: Column, kind: str) -> Column:
+        return F.size(F.filter(part, lambda t: t == kind))
+
+    def key(i: Column) -> Column:
+        own = F.slice(tokens, i, width)
+        before = F.slice(tokens, F.lit(1), i - 1)
+        stands = [F.slice(F.element_at(values, F.lit(k)), count(before, k) + 1, count(own, k)) for k in SLOTS.values()]
+        return F.xxhash64(own, *(F.transform(v, lambda x: F.lower(x)) for v in stands))
+
+    heavy = F.filter(F.sequence(F.lit(1), n), lambda i: F.size(F.filter(F.slice(tokens, i, width), lambda t: t.isin(*SLOTS.values()))) * 2 > width)
+    return F.when(n > 0, F.transform(heavy, lambda i: F.struct((i - 1).alias("at"), key(i).alias("hash"))))
+
+
 def _slots(tokens: str, values: str, at: str) -> Column:
     """(kind, value) of the token at a position, null where it is no placeholder."""
     kind = F.element_at(tokens, F.col(at))
@@ -70,7 +87,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: floa
     ``least`` of the item's windows, or ``run`` of them.  One row for each document and item, from the
     alignment with most windows (then the first).  Items of fewer than ``width`` tokens are matched as a
     whole over windows of their own length, from 4 tokens on; shorter ones cannot be told from chance and
-    match nothing.  Windows of which over half are placeholders are not looked up.
+    match nothing.  Windows of which over half are placeholders match only with equal slot values.
 
     Null or empty texts and null ids match nothing; repeated rows count once.  Other columns are not read.
     """
@@ -95,6 +112,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, least: floa
         found = there.join(known, "hash").select("doc_id", "doc_at", F.explode("where").alias("w"))
         found = found.select("doc_id", "doc_at", "w.item_id", "w.item_at", F.lit(n).alias("n"))
         hits = found if hits is None else hits.unionAll(found)
+        exact = own.select("item_id", F.explode(_exact_windows(F.col("tokens"), slot_values(F.col("text")), n)).alias("w"))
+        exact = exact.select("item_id", F.col("w.at").alias("item_at"), "w.hash").distinct().groupBy("hash").agg(F.collect_list(F.struct("item_id", "item_at")).alias("where"))
+        if (many := exact.count()) == 0:
+            continue
+        there = doc.select("doc_id", template(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values"))
+        there = there.select("doc_id", F.explode(_exact_windows(F.col("tokens"), F.col("values"), n)).alias("d")).select("doc_id", F.col("d.at").alias("doc_at"), "d.hash")
+        found = there.join(F.broadcast(exact) if many <= BROADCAST_WINDOWS else exact, "hash").select("doc_id", "doc_at", F.explode("where").alias("w"))
+        hits = hits.unionAll(found.select("doc_id", "doc_at", "w.item_id", "w.item_at", F.lit(n).alias("n")))
     if hits is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, coverage double, n_slots long, verbatim boolean")
 

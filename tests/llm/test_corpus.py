@@ -213,6 +213,54 @@ def test_leaks_of_items_full_of_numbers(spark):
     assert all(r.verbatim and r.coverage == 1 for r in got.values())
 
 
+HARD = [
+    ("a", "Anna has 12 apples and gives 5 of them to Berta. How many apples does Anna have left now?"),
+    ("b", "What is 12 + 45 * 3 - 7 / 2 + 19 * 4 - 8"),
+    ("c", "Define entropy"),
+    ("d", "?!"),
+    ("e", "New York lies 300 km from Boston and 20 miles from the sea"),
+    ("e", "Name five of the rivers that flow through Paris or London today"),
+]
+
+
+def hard_documents():
+    a, b, e = HARD[0][1], HARD[1][1], HARD[4][1]
+    texts = [
+        a.replace("Anna", "Carla").replace("Berta", "Dora").replace("12", "15").replace("5 of", "9 of"),  # names at the beginnings of sentences
+        a.replace("Anna", "Carl").replace("Berta", "Carl"),  # two names became one
+        f"see. {b}, then", f"see. {b.replace('45', '46')}, then",
+        "Define entropy.\nok", "please define entropy now", "DEFINE ENTROPY",
+        a.lower(), a.upper(), e.replace("New York", "Rome").replace("300 km", "4.5 miles").replace("20 miles", "20 feet"),
+        "the " + "Foo " * 20000, "Foo" * 20000, "1" * 1_000_000, "7 ,." * 100_000, "km " * 20000, "5 km " * 20000, "The " * 20000, HARD[5][1],
+    ]
+    return list(enumerate(texts))
+
+
+def test_leaks_of_hard_items_and_texts_of_any_length(spark):
+    bench = spark.createDataFrame([*HARD, HARD[0]], "item_id string, text string").withColumn("doc", F.lit("clash"))
+    docs = spark.createDataFrame([*hard_documents(), hard_documents()[0]], "doc_id int, text string").withColumn("raw", F.lit("clash"))
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontamination.leaks(docs, bench).collect()}
+    assert got == {(0, "a"): False, (2, "b"): True, (4, "c"): True, (6, "c"): True, (7, "a"): True, (8, "a"): True, (9, "e"): False, (17, "e"): True}
+    assert dict(decontamination.leaks(docs, bench.where("false")).dtypes)["item_id"] == "string"
+
+
+def test_leaks_equal_their_sql_on_hard_cases(spark, duck):
+    docs, bench = ([r for r in rows if len(r[1]) < 100_000] for rows in (hard_documents(), [(i, t) for i, (_, t) in enumerate(HARD)]))
+    con = duck.cursor()
+    for name, key, rows in (("documents", "doc_id", docs), ("benchmark", "item_id", bench)):
+        con.execute(f"create or replace temp table {name} ({key} bigint, text varchar)")
+        con.executemany(f"insert into {name} values (?, ?)", rows)
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    assert rows_of(found.toPandas()) == rows_of(con.execute(oracles.decontamination_sql()).df())
+
+
+def test_windows_dealt_over_tasks_give_the_same(spark, data, monkeypatch):
+    want = rows_of(queries.op3_decontamination(spark, data).toPandas())
+    monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    assert rows_of(queries.op3_decontamination(spark, data).toPandas()) == want
+
+
 def test_leaks_find_every_planted_item(spark, data):
     got = {(r.doc_id, r.item_id) for r in queries.op3_decontamination(spark, data).collect()}
     docs = spark.read.parquet(f"{data}/documents.parquet").collect()

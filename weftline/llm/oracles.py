@@ -59,41 +59,47 @@ SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_units, CAST(sum(b - a) AS BIGINT) AS
 """
 
 
-def _template(table: str, key: str, name: str) -> str:
+def _said(source: str) -> str:
+    """Template tokens and values of the texts of a relation."""
     from weftline.llm import decontamination as D
 
     q, n, m = (D.SLOTS[k] for k in ("quantity", "number", "name"))
-    quantity, number, person = (x.replace("'", "''") for x in (D.QUANTITY, D.NUMBER, D.NAME))
-    return rf"""{name}1 AS (SELECT {key} AS key, text, regexp_replace(text, '{quantity}', ' {q} ', 'g') AS t1 FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL
-), {name}2 AS (SELECT *, regexp_replace(t1, '{number}', ' {n} ', 'g') AS t2 FROM {name}1
-), {name} AS (SELECT key, list_filter(string_split_regex(lower(regexp_replace(t2, '{person}', '\1 {m} ', 'g')), '[\s\x0B[:punct:]]+'), lambda t: t <> '') AS toks,
-  regexp_extract_all(text, '{quantity}', 0) AS vq, regexp_extract_all(t1, '{number}', 0) AS vn, regexp_extract_all(t2, '{person}', 2) AS vm FROM {name}2)"""
-
-
-def _slot(p: str, at: str) -> str:
-    k = f"{p}toks[{at}]"
-    nth = f"len(list_filter({p}toks[1:{at}], lambda t: t = {k}))"
-    value = f"CASE {k} WHEN 'ⓠ' THEN {p}vq[{nth}] WHEN 'ⓝ' THEN {p}vn[{nth}] ELSE {p}vm[{nth}] END"
-    return f"CASE WHEN {k} IN ('ⓠ', 'ⓝ', 'ⓜ') THEN {k} || lower({value}) END"
+    units, function_words = ("'" + "', '".join(x) + "'" for x in (D.UNITS, D.FUNCTION_WORDS))
+    token, lead = D.TOKEN.replace("++", "+").replace("*+", "*"), f"^(({'|'.join(D.FUNCTION_WORDS)}) )+"
+    return rf"""(SELECT * EXCLUDE (r, m), list_transform(m, lambda t: CASE WHEN t >= '0' AND t < ':' THEN CASE WHEN regexp_matches(t, '[0-9]$') THEN '{n}' ELSE '{q}' END
+    WHEN regexp_matches(t, '^\p{{Lu}}\p{{Ll}}') AND lower(t) NOT IN ({function_words}) THEN '{m}' ELSE lower(t) END) AS toks,
+  list_transform(m, lambda t: CASE WHEN regexp_matches(t, '^\p{{Lu}}\p{{Ll}}') THEN regexp_replace(lower(t), '{lead}', '') ELSE lower(t) END) AS vals
+  FROM (SELECT *, list_filter(list_transform(r, lambda t, i: CASE WHEN t >= '0' AND t < ':' AND lower(r[i + 1]) IN ({units}) THEN t || ' ' || r[i + 1]
+    WHEN i > 1 AND lower(t) IN ({units}) AND r[i - 1] >= '0' AND r[i - 1] < ':' THEN NULL ELSE t END), lambda t: t IS NOT NULL) AS m
+  FROM (SELECT *, regexp_extract_all(text, '{token}', 0) AS r FROM {source})))"""
 
 
 def decontamination_sql() -> str:
-    """For benchmarks whose items all have a window's tokens."""
+    kinds = "('ⓠ', 'ⓝ', 'ⓜ')"
+    key = f"""CASE WHEN len(list_filter(toks[pos + 1:pos + n], lambda t: t IN {kinds})) * 2 > n THEN 'v' || array_to_string(vals[pos + 1:pos + n], chr(1))
+    ELSE 't' || array_to_string(toks[pos + 1:pos + n], chr(1)) END AS w"""
+    pair = "x || chr(1) || kx || chr(1) || y || chr(1) || ky"
     return f"""
-WITH {_template("documents", "doc_id", "d")}, {_template("benchmark", "item_id", "b")}, dw AS (
-  SELECT key AS doc_id, i AS doc_at, array_to_string(toks[i + 1:i + 8], ' ') AS w FROM (SELECT key, toks, unnest(range(len(toks) - 7)) AS i FROM d)
-), bw AS (
-  SELECT DISTINCT item_id, item_at, array_to_string(x, ' ') AS w FROM (SELECT key AS item_id, i AS item_at, toks[i + 1:i + 8] AS x FROM (SELECT key, toks, unnest(range(len(toks) - 7)) AS i FROM b))
-  WHERE len(list_filter(x, lambda t: t IN ('ⓠ', 'ⓝ', 'ⓜ'))) * 2 <= 8
-), l AS (SELECT doc_id, item_id, doc_at - item_at AS shift, count(DISTINCT item_at) AS n_windows, min(item_at) AS a, max(item_at) AS z FROM dw JOIN bw USING (w) GROUP BY ALL
-), c AS (SELECT l.*, n_windows / (len(b.toks) - 7) AS coverage FROM l JOIN b ON l.item_id = b.key WHERE n_windows / (len(b.toks) - 7) >= 0.5 OR n_windows >= 20
-), e AS (SELECT c.*, unnest(range(a + 1, z + 9)) AS p FROM c
-), s AS (SELECT e.doc_id, e.item_id, e.shift, n_windows, coverage, {_slot("b.", "p")} AS x, {_slot("d.", "(p + shift)")} AS y FROM e JOIN d ON e.doc_id = d.key JOIN b ON e.item_id = b.key
+WITH d AS (SELECT * FROM {_said("(SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)")}
+), b AS (SELECT *, least(len(toks), 8) AS n, row_number() OVER () AS item FROM {_said("(SELECT DISTINCT item_id, unnest(list_distinct([text, lower(text)])) AS text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL)")}
+), dn AS (SELECT *, row_number() OVER () AS doc FROM d
+), dw AS (SELECT doc_id, doc, n, pos AS doc_at, {key} FROM (SELECT dn.*, n, unnest(range(len(toks) - n + 1)) AS pos FROM dn, (SELECT DISTINCT n FROM b WHERE n >= 4))
+), bw AS (SELECT item_id, item, n, pos AS item_at, {key} FROM (SELECT *, unnest(range(len(toks) - n + 1)) AS pos FROM b WHERE n >= 4)
+), l AS (SELECT doc_id, doc, item_id, item, n, doc_at - item_at AS shift, count(DISTINCT item_at) AS n_windows, min(item_at) AS a, max(item_at) AS z FROM dw JOIN bw USING (n, w) GROUP BY ALL
+), c AS (SELECT l.*, n_windows / (len(b.toks) - l.n + 1) AS coverage FROM l JOIN b USING (item) WHERE n_windows / (len(b.toks) - l.n + 1) >= 0.5 OR n_windows >= 20
+), e AS (SELECT c.*, unnest(range(a + 1, z + n + 1)) AS p FROM c
+), s AS (SELECT e.*, b.vals[p] AS x, b.toks[p] AS kx, dn.vals[p + shift] AS y, dn.toks[p + shift] AS ky FROM e JOIN dn USING (doc) JOIN b USING (item)
 ), j AS (
-  SELECT doc_id, item_id, shift, n_windows, coverage, count(DISTINCT x || chr(1) || y) AS pairs, count(DISTINCT CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN x END) AS n_slots,
-    coalesce(bool_and(x = y) FILTER (x IS NOT NULL AND y IS NOT NULL), true) AS verbatim FROM s GROUP BY ALL
-), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, shift) AS place FROM j WHERE pairs = n_slots)
-SELECT doc_id, item_id, n_windows, coverage, n_slots, verbatim FROM k WHERE place = 1
+  SELECT doc_id, item_id, doc, item, shift, n_windows, coverage, count(DISTINCT kx || x) FILTER (slot) AS n_slots, coalesce(bool_and(x = y AND kx = ky) FILTER (slot), true) AS verbatim,
+    count(DISTINCT {pair}) FILTER (slot) = count(DISTINCT kx || x) FILTER (slot) AND count(DISTINCT {pair}) FILTER (slot AND ky = 'ⓜ') = count(DISTINCT y) FILTER (slot AND ky = 'ⓜ')
+    OR count(*) FILTER (slot AND x = y AND kx = ky) * 10 >= count(*) FILTER (slot) * 9 AS good
+  FROM (SELECT *, kx IN {kinds} AND ky IN {kinds} AS slot FROM s) GROUP BY ALL
+), longer AS (SELECT doc_id, item_id, n_windows, coverage, n_slots, verbatim FROM j WHERE good
+  QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, shift, coverage DESC, n_slots DESC, verbatim DESC) = 1
+), lines AS (SELECT DISTINCT doc_id, vals FROM {_said("(SELECT doc_id, unnest(list_distinct(list_append(string_split(text, chr(10)), text))) AS text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)")} WHERE len(vals) < 4
+), shorter AS (SELECT doc_id, item_id, 1 AS n_windows, 1.0::DOUBLE AS coverage, max(len(list_distinct(list_filter(list_transform(toks, lambda t, i: CASE WHEN t IN {kinds} THEN t || b.vals[i] END), lambda t: t IS NOT NULL)))) AS n_slots, true AS verbatim
+  FROM lines JOIN b ON lines.vals = b.vals WHERE len(toks) BETWEEN 1 AND 3 GROUP BY doc_id, item_id)
+SELECT * FROM (SELECT * FROM longer UNION ALL BY NAME SELECT * FROM shorter) QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, coverage DESC, n_slots DESC, verbatim DESC) = 1
 """
 
 

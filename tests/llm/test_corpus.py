@@ -325,6 +325,29 @@ def test_all_segmentations_come_out_in_order(tiny):
     assert all(abs(math.exp(s[1]) - want[tuple(s[0].tolist())]) < 1e-9 and s[3] == 1.0 for s in got)
 
 
+def test_siblings_held_as_one_are_dealt_out(tiny, monkeypatch):
+    voc, pieces, p = tiny
+    monkeypatch.setattr(lattice, "_FAR", -0.5)
+    monkeypatch.setattr(lattice, "_AHEAD", 1)
+    test_samples_follow_the_posterior_without_replacement(tiny)
+    test_all_segmentations_come_out_in_order(tiny)
+    test_inclusion_scores_make_unbiased_sums(tiny)
+
+
+def test_pieces_of_several_blanks_and_across_blanks():
+    for pieces in ({1: b"a", 2: b" ", 3: b"  ", 4: b"   ", 5: b" a", 6: b"  a"}, {1: b"a", 2: b" ", 3: b"a a", 4: b"a "}):
+        p = {i: 1 / len(pieces) for i in pieces}
+        voc = lattice.Vocabulary(pieces, {i: math.log(x) for i, x in p.items()}, list(range(100, 356)))
+        want = paths(b" a   aa a", pieces, p)
+        got = sample(voc, "a   aa a", 11, 10_000)
+        assert {tuple(s[0].tolist()) for s in got} == set(want)
+        assert all(abs(math.exp(s[1]) - want[tuple(s[0].tolist())]) < 1e-9 for s in got)
+    voc = lattice.Vocabulary.load(queries.PIECES)
+    assert not voc.crossing
+    found = sample(voc, "x" + " " * 8 + "y", 3, 40)
+    assert any(voc.decode([0, i]).isspace() and voc.piece_len[i] > 1 for s in found for i in s[0].tolist())
+
+
 def test_inclusion_scores_make_unbiased_sums(tiny):
     voc, pieces, p = tiny
     want = paths(b" abab", pieces, p)
@@ -345,6 +368,8 @@ def test_segmentations_spell_their_texts(spark, messy, empty):
             want = texts[r.doc_id][0]
             assert (voc.decode(r.ids) if r.ids else "") == want
     assert all(len({tuple(r.ids) for r in got if r.doc_id == i}) == 3 for i in range(20) if i != 2)
+    spelt = lattice.decode_segmentations(lattice.sample_segmentations(messy, voc, 2).withColumn("text", F.lit("clash")), voc).collect()
+    assert all(r.text == texts[r.doc_id][0] for r in spelt if r.doc_id is not None) and len(spelt) > len(texts)
     again = lattice.sample_segmentations(messy.repartition(1), voc, 3).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r["sample"], tuple(r.ids))
     assert sorted(map(key, again)) == sorted(map(key, got))

@@ -9,9 +9,9 @@ best path below a node follows the exact posterior (backward sums of the lattice
 paths that leave it at each step form sibling nodes with Gumbel values truncated at their parent's.  An A*
 search pops nodes by value, which is an exact bound, so the first k leaves are the sample.
 
-No piece crosses a blank except at its start, so the lattice factors into blank-delimited units; backward
-sums are made once for each distinct unit of a chunk.  Characters that no piece covers fall back to
-byte pieces.  Scores of a merge-ranked (BPE) vocabulary are read as a Zipf law over its ranks.
+Where no piece crosses from other text into a blank, the lattice factors into units of blanks and the text after
+them; backward sums are made once for each distinct unit of a chunk.  A vocabulary with other pieces is sampled
+over whole texts.  Characters that no piece covers fall back to byte pieces.  Scores of a merge-ranked (BPE) vocabulary are read as a Zipf law over its ranks.
 
 Randomness is a hash of (seed, row key, sample, unit, step): a row's samples don't depend on partitioning.
 """
@@ -33,9 +33,9 @@ _BYTE = stream(11, 256)
 _STEP = stream(404, 8) | U64(1)
 _PROBE = 20
 _CHUNK = 3 << 19
-#: log-probability of a prefix below which its siblings are left out: one of them would be among the samples with a
-#: chance below 1e-30.  Steps looked at first.
-_NEGLIGIBLE, _AHEAD = -80.0, 256
+#: log-probability of a prefix after which a path's siblings are drawn as one (and dealt out if ever that one is
+#: popped), and steps looked at first
+_FAR, _AHEAD = -80.0, 256
 
 
 class Vocabulary:
@@ -59,24 +59,30 @@ class Vocabulary:
         self.longest = int(np.bincount(head).max())
         self.byte_ids = np.array(byte_ids, np.int32)
         self.fallback = float(self.logp.min()) - 5
+        #: whether a piece goes on into a blank or a line, so that texts can't be cut there
+        self.crossing = any(b" " in t.lstrip(b" ") or (b"\n" in t and len(t) > 1) for t in text)
         size = int(max(ids.max(initial=0), self.byte_ids.max(initial=0))) + 1
-        full = {**pieces, **{int(b): bytes([i]) for i, b in enumerate(byte_ids)}}
+        full = dict(pieces) | ({int(b): bytes([i]) for i, b in enumerate(byte_ids)} if len(set(byte_ids)) == 256 else {})
         self.piece_len = np.array([len(full.get(i, b"")) for i in range(size)])
         self.piece_at = np.cumsum(self.piece_len) - self.piece_len
         self.piece_data = np.frombuffer(b"".join(full.get(i, b"") for i in range(size)), np.uint8)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """From a SentencePiece model file (read on the driver; a few hundred kB)."""
+        """From a SentencePiece model file (read on the driver; a few hundred kB).
+
+        In a model without byte pieces the unknown piece stands for each byte that no piece covers; such texts don't
+        decode to themselves.  The ranks of a merge-ranked (BPE) vocabulary are read as a Zipf law, as it has no probabilities.
+        """
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces, byte_ids = {}, [-1] * 256
+        pieces, byte_ids = {}, [model.unk_id()] * 256
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 byte_ids[int(piece[3:5], 16)] = i
-            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)) and "▁" not in piece[1:]:
+            elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 pieces[i] = piece.replace("▁", " ").encode()
         ranked = sorted(pieces, key=lambda i: -model.get_score(i))
         zipf = -np.log(np.arange(len(ranked)) + 10.0)
@@ -229,28 +235,63 @@ def _below(bound: float, loc: np.ndarray, noise: np.ndarray) -> np.ndarray:
 
 
 class _Path:
-    """One sampled segmentation of a document: its edges, the unit of each, and the values of the siblings."""
+    """One sampled segmentation of a document: its edges, the unit of each, and the values of the siblings.
+
+    The siblings far down, after a prefix of hardly any probability, are held as one: ``far`` is the largest value among
+    them, drawn like any other.  Where that value is popped, ``deal`` gives it to one of them and the rest their values below it.
+    """
 
     def __init__(self, edges: np.ndarray, units: np.ndarray, value: float, lattice: Lattice, key: np.uint64, fresh: int):
-        self.edges, self.units, self.value = edges, units, value
+        self.edges, self.units, self.value, self.lattice, self.key = edges, units, value, lattice, key
         share = lattice.log_share[edges]
         self.logp = float(share.sum())
         n = min(_AHEAD, len(edges))
         while True:  # as far as the prefix keeps any probability to speak of
-            self.upto = np.cumsum(share[:n]) - share[:n]
-            if n == len(edges) or self.upto[-1] < _NEGLIGIBLE:
+            upto = np.cumsum(share[:n]) - share[:n]
+            if n == len(edges) or upto[-1] < _FAR:
                 break
             n = min(2 * n, len(edges))
-        n = max(int(np.searchsorted(-self.upto, -_NEGLIGIBLE)), min(fresh, n), 1)
-        self.siblings = np.full(min(n, len(edges)), -np.inf)
+        n = min(max(int(np.searchsorted(-upto, -_FAR)), min(fresh, n), 1), len(edges))
+        self.upto = upto[:n]
+        self.siblings = np.full(n, -np.inf)
         self.used: dict[int, list[int]] = {}
-        if fresh < len(self.siblings):
-            part = share[fresh : len(self.siblings)]
+        self.far, self.fresh = -np.inf, max(fresh, n)
+        if fresh < n:
+            self.siblings[fresh:] = _below(value, self._places(fresh, n, self.upto), self._noise(fresh, n))
+        if self.fresh < len(edges):
+            at = float(share[: self.fresh].sum())
             with np.errstate(divide="ignore"):
-                rest = np.log(np.maximum(-np.expm1(part), 0.0))
-            rest[part > -1e-12] = -np.inf
-            noise = _uniform(key + np.arange(fresh, len(self.siblings), dtype=U64) * _STEP[1], 0)
-            self.siblings[fresh:] = _below(value, self.upto[fresh : len(self.siblings)] + rest, noise)
+                loc = at + np.log(-np.expm1(min(self.logp - at, 0.0)))
+            self.far = float(_below(value, np.array([loc]), _uniform(key + np.multiply(U64(len(edges)), _STEP[1:2]), 3))[0])
+
+    def _noise(self, a: int, b: int) -> np.ndarray:
+        return _uniform(self.key + np.arange(a, b, dtype=U64) * _STEP[1], 0)
+
+    def _places(self, a: int, b: int, upto: np.ndarray) -> np.ndarray:
+        """Log-probability of the paths that leave at each of the steps ``a`` to ``b``."""
+        part = self.lattice.log_share[self.edges[a:b]]
+        slot = self.lattice.source[self.edges[a:b]]
+        alone = self.lattice.begin[slot + 1] - self.lattice.begin[slot] == 1
+        with np.errstate(divide="ignore"):
+            rest = np.log(np.maximum(-np.expm1(part), 0.0))
+            rest[alone] = -np.inf
+            for i in np.flatnonzero(~alone & (part > -1e-9)).tolist():  # next to certain: sum the others themselves
+                others = np.delete(self.lattice.log_share[self.lattice.begin[slot[i]] : self.lattice.begin[slot[i] + 1]], self.edges[a + i] - self.lattice.begin[slot[i]])
+                rest[i] = np.logaddexp.reduce(others)
+        return upto[a:b] + rest
+
+    def deal(self) -> None:
+        """Replace the common value of the siblings far down by their own."""
+        n, value, fresh = len(self.edges), self.far, self.fresh
+        share = self.lattice.log_share[self.edges]
+        self.upto = np.cumsum(share) - share
+        loc = self._places(fresh, n, self.upto)
+        weight = np.cumsum(np.exp(loc - loc.max()))
+        draw = _uniform(self.key + np.multiply(U64(n), _STEP[1:2]), 4)[0]
+        own = min(int(np.searchsorted(weight, draw * weight[-1])), n - fresh - 1)
+        self.siblings = np.concatenate([self.siblings, np.full(fresh - len(self.siblings), -np.inf), _below(value, loc, self._noise(fresh, n))])
+        self.siblings[fresh + own] = value
+        self.far = -np.inf
 
 
 def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple]]:
@@ -265,10 +306,11 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
     body = np.ones(len(text), bool)
     body[first] = False
     text[body] = data
-    split = text == 0x20
-    line = text == 0x0A
-    split |= line
-    split[1:] |= line[:-1]
+    split = np.zeros(len(text), bool)
+    if not vocabulary.crossing:
+        blank, line = text == 0x20, text == 0x0A
+        split |= line
+        split[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
     split[first] = True
     starts = np.flatnonzero(split)
     ends = np.append(starts[1:], len(text))
@@ -299,6 +341,8 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
             j = int(path.siblings.argmax())
             if path.siblings[j] > found[0]:
                 found = (float(path.siblings[j]), p, j)
+            if path.far > found[0]:
+                found = (path.far, p, -1)
         return found
 
     for sample in range(1, k):
@@ -307,6 +351,9 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
             value, p, j = best(d)
             if value == -np.inf:
                 continue
+            if j < 0:
+                paths[d][p].deal()
+                value, p, j = best(d)
             path = paths[d][p]
             used = path.used.setdefault(j, [int(path.edges[j])])
             slot = lattice.source[path.edges[j]]
@@ -315,8 +362,8 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
             draw = seeds[d : d + 1] + np.multiply(U64(sample), _STEP[4:5])
             pick = int(options[min(int(np.searchsorted(np.cumsum(share), _uniform(draw, 1)[0] * share.sum())), len(options) - 1)])
             used.append(pick)
-            left = max(0.0, float(share.sum() - np.exp(lattice.log_share[pick])))
-            loc = path.upto[j] + np.log(left) if left > 1e-15 and len(options) > 1 else -np.inf
+            others = lattice.log_share[options[options != pick]]
+            loc = path.upto[j] + np.logaddexp.reduce(others) if len(others) else -np.inf
             path.siblings[j] = _below(value, np.array([loc]), _uniform(draw, 2))[0]
             here = int(path.units[j])
             span = np.arange(here, per[d + 1])
@@ -376,8 +423,10 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPL
     ``value`` its perturbed one, ``inclusion`` the probability to be among samples above the next value left
     (1 where nothing is left), ``decoded`` whether the pieces spell the text.  Whole texts are used, of any length.
 
-    An empty or null text gives one row with no pieces, log-probability 0 and inclusion 1.  A text of fewer than
-    ``k`` segmentations gives all of them.  Repeated rows get the same samples; a null doc_id counts as key 0.
+    Every segmentation that the vocabulary allows can be drawn.  An empty or null text gives one row with no pieces,
+    log-probability 0 and inclusion 1.  A text of fewer than ``k`` segmentations gives all of them, so ``k`` may be beyond
+    any number.  Values tie with probability zero; a tie goes to the earlier step.  Repeated rows get the same samples; a null
+    doc_id counts as key 0.
     Only doc_id and text are read; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
@@ -406,3 +455,21 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPL
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, sample int, ids array<int>, logp double, value double, inclusion double, decoded boolean")
+
+
+def decode_segmentations(segmented: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Rows (doc_id, sample, text): the text that each row's piece ``ids`` spell, without the blank put before it.
+
+    Null or empty ids give an empty text; ids outside the vocabulary raise an error.  Other columns are not read; an empty table
+    gives an empty result, repeated rows one row each.
+    """
+    shared = segmented.sparkSession.sparkContext.broadcast(vocabulary)  # fixed size: the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [shared.value.decode(ids) if ids else "" for ids in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(text, pa.string())], ["doc_id", "sample", "text"])
+
+    small_batches(segmented.sparkSession)
+    base = segmented.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("sample").cast("int").alias("sample"), F.col("ids").cast("array<int>").alias("ids"))
+    return base.mapInArrow(run, "doc_id long, sample int, text string")

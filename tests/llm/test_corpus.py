@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 from zlib import crc32
 
@@ -578,6 +579,22 @@ def test_languages(spark, messy, empty, data):
     assert language_id.accepted_rows(messy, model).columns == messy.columns
 
 
+def test_letters_are_those_of_unicode(spark, data):
+    import pyarrow as pa
+
+    points = [p for p in range(1, 0x110000) if not 0xD800 <= p < 0xE000]
+    found = np.concatenate([language_id.has_letters(c) for c in R.text_chunks(pa.array([chr(p) + "1 ?" for p in points]))])
+    assert [p for p, l in zip(points, found, strict=True) if l != unicodedata.category(chr(p)).startswith("L")] == []
+    odd = ["١٢٣ ٤٥٦", "؟؟؟ ٪", "१२३ ।", "๑๒๓", "𝟙𝟚", "ℝ ℂ", "ªa", "一二", None]
+    model = language_id.fit(spark.read.parquet(f"{data}/documents.parquet"))
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    assert [got[i].lang_pred == "und" for i in range(9)] == [True] * 5 + [False] * 3 + [True]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    few = language_id.fit(spark.read.parquet(f"{data}/documents.parquet"), languages=2)
+    assert len(set(few.langs)) == 2
+
+
 # All
 
 

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.rows import steady
+from weftline.llm.rows import of_ids, steady
 
 WIDTH = 8
 #: items of fewer tokens are matched with whole documents and whole lines only
@@ -229,7 +229,7 @@ def _consistent(doc: DataFrame, item: DataFrame, hits: DataFrame, least: float,
     own = F.slice("raw", F.col("a") + 1, length)
     lines = steady(lines.select(*key, "n_windows", "coverage", "a", length.alias("length"), values(own).alias("x"), template(own).alias("kx")))
 
-    there = doc.join(lines.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]).select("doc", tokens(F.col("text")).alias("doc_raw"))
+    there = of_ids(doc, steady(lines.select("doc").distinct()), "doc").dropDuplicates(["doc"]).select("doc", tokens(F.col("text")).alias("doc_raw"))
     slots = lines.join(there.hint("merge"), "doc").withColumn("own", F.slice("doc_raw", (F.col("a") + F.col("shift") + 1).cast("int"), F.col("length")))
     slots = slots.select("doc_id", "item_id", "shift", "n_windows", "coverage", F.arrays_zip("x", "kx", values(F.col("own")).alias("y"), template(F.col("own")).alias("ky")).alias("z"))
     known = list(SLOTS.values())

@@ -23,6 +23,8 @@ DIMS = 8192
 SAMPLE = 4000
 #: centroids per language
 CENTROIDS = 4
+#: languages learned at most: their centroids (128 kB each) are held by every worker
+LANGUAGES = 300
 UNKNOWN = "und"
 #: documents whose counts are held at once (32 kB each)
 ROWS = 256
@@ -37,7 +39,7 @@ def letters(chunk: Chunk) -> np.ndarray:
     """The bytes with A-Z and the Latin-1 capitals folded, letters kept and everything else blank.
 
     Bytes of 128 and more belong to code points beyond ASCII; of these the Latin-1 signs, general
-    punctuation and emoji are blanked too, the rest counts as letters.
+    punctuation and emoji are blanked too, the rest is kept: these bytes make n-grams, ``has_letters`` decides on letters.
     """
     d = chunk.data
     out = _FOLD[d]
@@ -77,11 +79,18 @@ def counts(chunk: Chunk) -> np.ndarray:
     return out
 
 
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 def has_letters(chunk: Chunk) -> np.ndarray:
-    """Whether each document of the chunk has a letter."""
+    """Whether each document of the chunk has a code point of the Unicode letter categories."""
     total = np.zeros(len(chunk.data) + 1, np.int64)
-    np.cumsum(letters(chunk) != 0x20, out=total[1:])
-    return total[chunk.bounds[1:]] > total[chunk.bounds[:-1]]
+    np.cumsum(_ASCII_LETTER[chunk.data], out=total[1:])
+    found = total[chunk.bounds[1:]] > total[chunk.bounds[:-1]]
+    for i in np.flatnonzero(~found).tolist():
+        found[i] = any(map(str.isalpha, chunk.data[chunk.bounds[i] : chunk.bounds[i + 1]].tobytes().decode("utf-8", "replace")))
+    return found
 
 
 def unit_vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -151,16 +160,17 @@ class Model:
         return lang, score, np.where(known, near, 0.0), accepted
 
 
-def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
+def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
     """Fit on ``train`` (doc_id, text, lang), rows with null lang left out.
 
     Document frequencies cover every row.  The centroids come from about ``sample`` rows, drawn evenly
     over the languages by a hash of doc_id; what reaches the driver is that sample in sparse form.
+    At most ``languages`` values of lang are learned, the commonest (ties: the first by name), which bounds the model.
     The rejection threshold of a language is half the cosine that 99.5 % of its sample reaches.
     """
     small_batches(train.sparkSession)
     train = train.where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
         return Model(np.ones(DIMS, np.float32), np.zeros((0, DIMS), np.float32), [], {})
     df = np.zeros(DIMS + 1, np.int64)
@@ -169,7 +179,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> M
     idf = (np.log((1 + df[0]) / (1 + df[1:])) + 1).astype(np.float32)
     each = max(1, sample // len(sizes))
     share = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, each / n))))
-    drawn = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
+    drawn = F.pmod(F.xxhash64(F.lit(7), F.col("doc_id")), F.lit(1 << 20)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)) * (1 << 20)
     rows = train.where(drawn).select("lang", "text").mapInArrow(_sparse, "lang string, features array<int>, tf array<float>").toArrow()
     centres, langs, least = [], [], {}
     column = rows.column("lang").to_pylist()
@@ -217,7 +227,11 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def accepted_rows(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` whose text the model accepts, all columns kept."""
+    """The rows of ``docs`` whose text the model accepts, all columns kept.
+
+    Null texts, texts without a letter and all texts under a model without languages are not accepted; repeated rows are each
+    kept or each dropped.  An empty table gives an empty result with the same columns.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")

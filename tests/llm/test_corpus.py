@@ -96,6 +96,21 @@ def test_near_duplicates_equal_brute_force(messy):
             assert r.n_shingles == len(shingles(corpus()[r.doc_id][1]))
 
 
+def test_near_duplicates_with_every_key_hot(messy, monkeypatch):
+    monkeypatch.setattr(R, "HOT", 2)
+    monkeypatch.setattr(near_dedup.near_duplicates, "__defaults__", (85, 5, near_dedup.BANDS, near_dedup.ROWS, 2))
+    test_near_duplicates_equal_brute_force(messy)
+
+
+def test_dealt_join_equals_a_plain_one(spark):
+    many = spark.createDataFrame([(k % 3 if k % 7 else None, k) for k in range(200)], "k int, v int")
+    one = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (5, "d"), (None, "e")], "k int, w string")
+    for how in ("inner", "left"):
+        want = sorted(map(str, many.join(one, ["k"], how).collect()))
+        for hot in (1, 50, 1000):
+            assert sorted(map(str, R.dealt_join(many, one, ["k"], "v", how, hot=hot).collect())) == want
+
+
 def test_near_duplicates_chain_without_a_common_centre(spark):
     """Each text is near the next one only: the whole chain is one class."""
     rng = random.Random(8)
@@ -132,6 +147,15 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 11), (3, 9), (5, 5), (None, 7), (11, 12), (12, 13), (13, 14)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 9: 1, 10: 10, 11: 10, 12: 10, 13: 10, 14: 10}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_components_of_a_long_path_and_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT", 5)
+    ids = random.Random(5).sample(range(1000), 300)
+    edges = [*zip(ids[:200], ids[1:201], strict=True), *((ids[250], x) for x in ids[251:])]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {x: min(ids[:201]) for x in ids[:201]} | {x: min(ids[250:]) for x in ids[250:]}
 
 
 # 2

@@ -5,39 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.rows import steady
+from weftline.llm.rows import dealt_join, steady
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (u, v), the root being the smallest id reachable.
 
     Each round hangs every neighbour above a node on the smallest neighbour, then every neighbour below;
-    the number of edges never grows and the depth shrinks by about half.  No group is collected: the
-    minima are map-side aggregates joined back, so a hub of any degree is dealt over tasks.
-    Nulls and self links are ignored; an empty input gives an empty result.
+    the number of edges never grows and the depth shrinks by about half.  Rounds go on until nothing changes, about
+    the logarithm of the longest path.  No group is collected: the minima are map-side aggregates joined back, the edges
+    of a hub being dealt over tasks.  Nulls, self links and repeated links are ignored; an empty input gives an empty result.
     """
     now = steady(
         edges.where("u is not null and v is not null and u <> v")
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    before = None
-    for _ in range(rounds):
+    before, state = None, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    while state != before:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        least = steady(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        hung = dealt_join(both.where("v > u"), least.select("u", "m"), ["u"], "v", hubs=least)
+        large = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         now = steady(
             small.select("u", F.col("m").alias("v"))
             .unionAll(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
         )
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
+        before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root")))

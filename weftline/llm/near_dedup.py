@@ -29,6 +29,7 @@ from weftline.llm.graph import components
 from weftline.llm.rows import (
     U64,
     blobs,
+    dealt_join,
     give_back,
     mix,
     of_ids,
@@ -244,24 +245,22 @@ def near_duplicates(
     signs = reps.select("id", "sig", "n_shingles")
 
     bucketed = reps.select("id", "sig").mapInArrow(_bands(bands, rows), "band long, id long, nth short")
-    least_id = bucketed.groupBy("band").agg(F.min("id").alias("m"), F.count("*").alias("n")).where("n > 1")
-    members = steady(bucketed.join(least_id, "band"))
-    stars = members.where("id > m").select(F.col("id").alias("u"), F.col("m").alias("v")).distinct()
+    least_id = steady(bucketed.groupBy("band").agg(F.min("id").alias("m"), F.count("*").alias("n")).where("n > 1"))
+    members = steady(dealt_join(bucketed, least_id, ["band"], "id", hubs=least_id))
+    stars = steady(members.where("id > m").select(F.col("id").alias("u"), F.col("m").alias("v")).distinct())
 
     def near(pairs: DataFrame) -> DataFrame:
         sides = [signs.select(F.col("id").alias(c), F.col("sig").alias("s" + c), F.col("n_shingles").alias("n" + c)) for c in "uv"]
-        both = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "su", "sv", "nu", "nv")
+        both = dealt_join(pairs.join(sides[0], "u"), sides[1], ["v"], "u", hubs=pairs.groupBy("v").agg(F.count("*").alias("n"))).select("u", "v", "su", "sv", "nu", "nv")
         return both.mapInArrow(_estimate(k, least), "u long, v long")
 
-    first = reps.select(F.col("id").alias("doc_id"), F.col("d1").alias("e1"), F.col("d2").alias("e2"))
-
     def sets_of(ids: DataFrame) -> DataFrame:
         return of_ids(base, steady(ids.distinct()), "doc_id").mapInArrow(_sets(width), "id long, shingles binary")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         sets = steady(sets_of(pairs.select(F.col("u").alias("doc_id")).unionAll(pairs.select("v"))))
         sides = [sets.select(F.col("id").alias(c), F.col("shingles").alias("s" + c)) for c in "uv"]
-        both = pairs.join(sides[0], "u").join(sides[1], "v").select("u", "v", "su", "sv")
+        both = dealt_join(pairs.join(sides[0], "u"), sides[1], ["v"], "u", hubs=pairs.groupBy("v").agg(F.count("*").alias("n"))).select("u", "v", "su", "sv")
         return both.mapInArrow(_confirm(percent), "u long, v long")
 
     links = steady(confirmed(steady(near(stars))))
@@ -271,12 +270,13 @@ def near_duplicates(
     placed = members.where("id > m").join(roots, members["id"] == roots["node"], "left")
     placed = steady(placed.select("band", "nth", "id", F.coalesce("root", "id").alias("root")))
     spread = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n")).where("a < b")
-    mixed = steady(placed.join(spread, "band").join(signs, "id"))
+    spread = steady(spread)
+    mixed = steady(dealt_join(placed, spread, ["band"], "id", hubs=spread).join(signs, "id"))
     sets = sets_of(mixed.select(F.col("id").alias("doc_id")))
     blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / (4096 * block)))
     bulk = mixed.groupBy("band").agg(F.sum(F.col("n_shingles") * 8).alias("bytes"))
     packed = (
-        mixed.join(bulk, "band")
+        dealt_join(mixed, bulk, ["band"], "id", hubs=spread)
         .join(sets, "id")
         .withColumn("rest", F.col("root") > F.col("a"))
         .groupBy("band", "nth", "rest", F.pmod(F.xxhash64("id"), blocks).alias("block"))
@@ -284,15 +284,13 @@ def near_duplicates(
     )
     packed = steady(packed.withColumn("block", F.col("block") + F.when(F.col("rest"), 1 << 40).otherwise(0)))
     sides = [packed.select("band", "nth", *(F.col(c).alias(f"{p}_{c}") for c in ("rest", "block", "ids", "roots", "sigs", "sizes", "sets"))) for p in ("x", "y")]
-    facing = sides[0].join(sides[1], ["band", "nth"]).where("x_rest and (not y_rest or x_block <= y_block)")
+    facing = dealt_join(sides[0], sides[1], ["band", "nth"], "x_block", hot=4).where("x_rest and (not y_rest or x_block <= y_block)")
     links = links.unionAll(steady(facing.mapInArrow(_cross(k, rows, least, percent), "u long, v long")))
     roots = components(links)
 
-    classes = reps.join(roots, reps["id"] == roots["node"], "left").select(
-        F.col("n_shingles").alias("n"), F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.coalesce("root", "id").alias("root")
-    )
-    same = (signed["n_shingles"] == classes["n"]) & (signed["d1"] == classes["e1"]) & (signed["d2"] == classes["e2"])
-    placed = signed.drop("sig").join(classes, same & signed["doc_id"].isNotNull(), "left")
-    return placed.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id")).withColumn(
+    classes = reps.join(roots, reps["id"] == roots["node"], "left").select("n_shingles", "d1", "d2", F.coalesce("root", "id").alias("root"))
+    placed = dealt_join(signed.drop("sig"), classes, ["n_shingles", "d1", "d2"], "doc_id", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return placed.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

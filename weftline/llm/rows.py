@@ -9,6 +9,7 @@ which bounds the memory of a worker.
 from __future__ import annotations
 
 import ctypes
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,17 +175,28 @@ def blobs(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.  Where it names none, one on this machine if the session
+    runs in a single process (as in tests), and an error otherwise: executors would not share it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (at or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+
+
 def steady(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in ``spark.checkpoint.dir``, which executors share."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(at or "file:///tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts make large Arrow batches: hold fewer rows in each, unless the session has chosen fewer."""
+    """Long texts make large Arrow batches: hold fewer rows in each, unless the session has chosen fewer.
+
+    This sets an option of the session and leaves it so, as plans read it when they run.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) in (0, 10000) or int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)
@@ -199,3 +211,29 @@ def of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     a count shows that they fit, a shuffled semi join otherwise."""
     few = ids.count() <= BROADCAST_IDS
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
+#: rows of one key beyond which a join deals them over several tasks
+HOT = 2000
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: list[str], by: str, how: str = "inner", hubs: DataFrame | None = None, hot: int | None = None) -> DataFrame:
+    """``many`` joined with ``one`` on ``key``, no key being more than about ``hot`` rows of ``many`` to a task.
+
+    Rows of a key that ``many`` holds oftener are dealt over parts by the column ``by``; the rows of ``one`` with that key
+    are repeated for each part.  ``hubs`` (key, n) may give the counts.  There are at most rows / hot such keys: they are
+    broadcast, and ``hot`` grows until they number BROADCAST_IDS at most.  ``how`` is inner or left.  Null keys match nothing.
+    """
+    hot = hot or HOT
+    counted = hubs if hubs is not None else many.groupBy(*key).agg(F.count("*").alias("n"))
+    found = steady(counted.where(F.col("n") > hot).select(*key, "n"))
+    while (size := found.count()) > BROADCAST_IDS:
+        hot *= 4
+        found = found.where(F.col("n") > hot)
+    if not size:
+        return many.join(one, key, how)
+    parts = F.broadcast(found.select(*key, F.ceil(F.col("n") / hot).alias("_parts")))
+    some = F.coalesce("_parts", F.lit(1))
+    left = many.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), some)).drop("_parts")
+    right = one.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), some - 1))).drop("_parts")
+    return left.join(right, [*key, "_part"], how).drop("_part")

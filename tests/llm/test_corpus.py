@@ -643,11 +643,46 @@ def test_pipeline(spark, data):
     assert len(ids[0]) > 0.98 * len(text)
     bench = [r.text for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     assert not any(b in r.text for r in seen[3].collect() for b in bench)
-    want = classes([(i, text[i]) for i in sorted(ids[0])])
+    want = classes([(i, text[i]) for i in sorted(ids[0])], P.NEAR_PERCENT)
     assert ids[1] == {i for i in ids[0] if want[i] == i}
     assert P.run(spark, data).count() == seen[4].count()
 
 
+def test_pipeline_drops_near_copies_from_80_percent_on(spark, data):
+    import corpus_pipeline as P
+
+    rng = random.Random(31)
+    rows = []
+    for i in range(20):
+        w = prose(rng, 300)
+        rows.append((2 * i, " ".join(w)))
+        for at in range(6 + i % 3):
+            w[30 * at + 7] = f"own{i}x{at}"
+        rows.append((2 * i + 1, " ".join(w)))
+    near = [len(shingles(a[1]) & shingles(b[1])) / len(shingles(a[1]) | shingles(b[1])) for a, b in zip(rows[::2], rows[1::2], strict=True)]
+    assert sum(0.80 <= x < 0.85 for x in near) >= 5 and min(near) < 0.80
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in P.drop_near_duplicates(spark, docs, data).collect()}
+    assert got == {2 * i for i in range(20)} | {2 * i + 1 for i in range(20) if near[i] < 0.80}
+
+
+def test_pipeline_stages_on_odd_rows(spark, messy, empty, data):
+    import corpus_pipeline as P
+
+    n = len(corpus())
+    for name, stage in P.STAGES:
+        got = stage(spark, messy, data)
+        if name != "segmentation":
+            assert got.schema.names == messy.schema.names
+            found = Counter((r.doc_id, r.lang) for r in got.collect())
+            odd = {"language identification": [], "near-duplicate removal": [(None, "en"), (None, None), (32 + 14, "en")]}.get(name, [(None, "en"), (None, None)])
+            assert all(found[k] >= 1 for k in odd) and sum(found.values()) <= n
+            assert name != "repeated-text removal" or sum(found.values()) == n
+        else:
+            assert got.select("doc_id").distinct().count() == len({r[0] for r in corpus()})
+        assert stage(spark, empty, data).count() == 0
+
+
 def test_pipeline_cuts_passages_of_short_units(spark, data):
     """Repeated passages of short sentences and short lines, and one that begins and ends inside a sentence."""
     import corpus_pipeline as P

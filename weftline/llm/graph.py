@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from weftline.llm.rows import dealt_join, steady
 
 
+#: edges to a task: a round has several shuffles, which should not have more tasks than the edges ask for
+PART = 250_000
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, root) for every node of ``edges`` (u, v), the root being the smallest id reachable.
 
@@ -21,18 +29,20 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         .distinct()
     )
-    before, state = None, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before, state = None, _state(now)
     while state != before:
+        parts = max(1, -(-state[0] // PART))  # the edges never grow in number
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = steady(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
-        hung = dealt_join(both.where("v > u"), least.select("u", "m"), ["u"], "v", hubs=least)
-        large = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
+        least = steady(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")).coalesce(parts))
+        hung = dealt_join(both.where("v > u"), least.select("u", "m"), ["u"], "v", hubs=least).coalesce(parts)
+        large = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts)
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts), "u").coalesce(parts)
         now = steady(
             small.select("u", F.col("m").alias("v"))
             .unionAll(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
             .distinct()
+            .coalesce(parts)
         )
-        before, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, state = state, _state(now)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root")))

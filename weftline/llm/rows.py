@@ -214,7 +214,7 @@ def of_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 #: rows of one key beyond which a join deals them over several tasks
-HOT = 2000
+HOT = 500
 
 
 def dealt_join(many: DataFrame, one: DataFrame, key: list[str], by: str, how: str = "inner", hubs: DataFrame | None = None, hot: int | None = None) -> DataFrame:
@@ -226,7 +226,7 @@ def dealt_join(many: DataFrame, one: DataFrame, key: list[str], by: str, how: st
     """
     hot = hot or HOT
     counted = hubs if hubs is not None else many.groupBy(*key).agg(F.count("*").alias("n"))
-    found = steady(counted.where(F.col("n") > hot).select(*key, "n"))
+    found = counted.where(F.col("n") > hot).select(*key, "n")
     while (size := found.count()) > BROADCAST_IDS:
         hot *= 4
         found = found.where(F.col("n") > hot)

@@ -276,3 +276,18 @@ def test_entry_runs(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_smallest_codec_equals_a_plain_loop(spark):
+    import zlib
+
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=40) if i % 3 else np.repeat(rng.normal(size=4), 10).astype(np.float16)).astype(np.float32).tolist(), 0.5, 2.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "tensor long, vec array<float>, scale double, zmax double")
+    got = {r.tensor: (r.codec, r.bytes) for r in codec.smallest(codec.candidates(df)).collect()}
+    for i, vec, scale, zmax in rows:
+        x = np.array(vec, np.float32)
+        z = np.clip(np.rint((np.sign(x.astype(float)) * np.log1p(np.abs(x.astype(float)) / scale) / zmax + 1) * 127.5), 0, 255).astype(np.uint8)
+        forms = {"log": z.tobytes(), "fp16": x.astype("<f2").tobytes(), "planes": bytes(b for p in range(4) for b in x.tobytes()[p::4]), "raw": x.tobytes()}
+        sizes = {k: len(zlib.compress(v, 9)) for k, v in forms.items()}
+        assert got[i] == min(((k, n) for k, n in sizes.items()), key=lambda t: t[1])

@@ -116,6 +116,33 @@ def verify(archive: DataFrame) -> DataFrame:
     return archive.select("tensor", "raw_bytes", "sha256", "payload").mapInArrow(run, "tensor long, ok boolean")
 
 
+#: forms that ``candidates`` tries, in order
+FORMS = {
+    "log": lambda x, scale, zmax: encode(x.astype(np.float64), scale, zmax).tobytes(),
+    "fp16": lambda x, scale, zmax: x.astype("<f2").tobytes(),
+    "planes": lambda x, scale, zmax: x.astype("<f4").view(np.uint8).reshape(-1, 4).T.tobytes(),
+    "raw": lambda x, scale, zmax: x.astype("<f4").tobytes(),
+}
+
+
+def candidates(rows: DataFrame, forms: tuple[str, ...] = tuple(FORMS)) -> DataFrame:
+    """Rows (tensor, place, codec, bytes): the deflated size of each form of each tensor (vec, scale, zmax)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for i in range(batch.num_rows):
+                x = batch.column(1)[i].values.to_numpy(zero_copy_only=False)
+                sizes += [len(zlib.compress(FORMS[f](x, batch.column(2)[i].as_py(), batch.column(3)[i].as_py()), 9)) for f in forms]
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(np.repeat(np.arange(n), len(forms)))), pa.array(np.tile(np.arange(len(forms), dtype=np.int32), n)), pa.array(list(forms) * n, pa.string()), pa.array(sizes, pa.int64())],
+                ["tensor", "place", "codec", "bytes"],
+            )
+
+    return rows.select("tensor", "vec", "scale", "zmax").mapInArrow(run, "tensor long, place int, codec string, bytes long")
+
+
 def smallest(candidates: DataFrame) -> DataFrame:
     """The smallest codec of each tensor among (tensor, place, codec, bytes); the first by place on ties."""
     best = F.min_by(F.struct("codec", "bytes"), F.struct("bytes", "place"))

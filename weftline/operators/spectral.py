@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,9 +77,23 @@ def fourier_values(rows: DataFrame, spectrum: list[tuple[int, int, float, float]
 
 
 def gram(rows: DataFrame) -> DataFrame:
-    """Rows (i, j, g), i <= j: the Gram matrix of the columns of (vec), summed map-side; dims x dims numbers whatever the rows."""
-    cell = F.explode(F.flatten(F.transform("vec", lambda x, i: F.transform(F.slice("vec", i + 1, F.size("vec")), lambda y, k: F.struct(i.alias("i"), (i + k).alias("j"), (x.cast("double") * y).alias("g"))))))
-    return rows.select(cell.alias("p")).groupBy("p.i", "p.j").agg(F.sum("p.g").alias("g"))
+    """Rows (i, j, g), i <= j: the Gram matrix of the columns of (vec), from one matrix product a batch.
+
+    A task gives dims * (dims + 1) / 2 sums, whatever its rows.  Vectors of unequal lengths are an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.triu_indices(len(total))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], ["i", "j", "g"])
+
+    found = rows.select(F.col("vec").cast("array<double>").alias("vec")).where("vec is not null").mapInArrow(run, "i int, j int, g double")
+    return found.groupBy("i", "j").agg(F.sum("g").alias("g"))
 
 
 def low_rank(rows: DataFrame, dims: int, rank: int) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -109,8 +126,6 @@ def mlp_values(rows: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
 
     ``params`` (row_emb, col_emb, w1, b1, w2, b2, mean, std) is a bounded artefact; scoring is a batch of matrix products.
     """
-    import pyarrow as pa
-
     shared = rows.sparkSession.sparkContext.broadcast(params)
     names = rows.columns
     at = names.index("row_id"), names.index("col")

@@ -88,15 +88,16 @@ def _row_step(a: str, b: str) -> str:
 
 @R.query(f"WITH {_ROW}, {_row_step('s', 't')} SELECT tensor, CAST(unnest(range(4)) AS INTEGER) AS idx, round(unnest(c), 6) AS centre FROM t")
 def fit_kmeans_rowwise(spark, sf):
+    # an outer explode: the other one makes the optimiser copy the whole nested expression into a filter on the array's size
     rows = K.rowwise_step(K.rowwise_seeds(matrix(spark, sf), 4))
-    return rows.select("tensor", F.posexplode("centres").alias("idx", "centre")).select("tensor", "idx", F.round("centre", 6).alias("centre"))
+    return rows.select("tensor", F.posexplode_outer("centres").alias("idx", "centre")).select("tensor", "idx", F.round("centre", 6).alias("centre"))
 
 
 @R.query(f"WITH {_ROW}, x AS (SELECT tensor, unnest(range(len(vec))) AS i, unnest(vec) AS v, c FROM s) SELECT tensor, i AS flat_index, CAST(len(list_filter([1, 2, 3], lambda t: (c[t] + c[t + 1]) / 2 <= v)) AS INTEGER) AS code FROM x")
 def jn_nearest_rowwise(spark, sf):
     rows = K.rowwise_seeds(matrix(spark, sf), 4).withColumn("bounds", N.midpoints(F.col("centres")))
     coded = rows.withColumn("codes", F.transform("vec", lambda v: N.nearest_code(v.cast("double"), F.col("bounds"))))
-    return coded.select("tensor", F.posexplode("codes").alias("flat_index", "code")).withColumn("flat_index", F.col("flat_index").cast("long"))
+    return coded.select("tensor", F.posexplode_outer("codes").alias("flat_index", "code")).withColumn("flat_index", F.col("flat_index").cast("long"))
 
 
 _SWEEP = " UNION ALL ".join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 import numpy as np
@@ -16,7 +17,7 @@ from weftline.operators import metrics as M
 from weftline.operators import predictive as V
 from weftline.operators import spectral as S
 from weftline.plans.profile import _CODES, codes, rounded
-from weftline.plans.registry import W, Registry, fp16, metrics_sql
+from weftline.plans.registry import W, Registry, bf16, fp16, metrics_sql
 from weftline.sources import safetensors as T
 from weftline.sources.tables import blocks, matrix, table, weights
 
@@ -25,8 +26,11 @@ _DENSE = "r0 AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_i
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one of the session, or below /tmp where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/weftline"
+    """A new folder below the shared one of the session; below the temporary one where none is set, in a single process only."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    shared = shared or f"file://{tempfile.gettempdir()}/weftline"
     return f"{shared.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -188,7 +192,11 @@ def fn_fourier_fit(spark, sf):
     return s.select("row_freq", "col_freq", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("re", "im")))
 
 
-@R.query()
+_REBUILT = """rb AS (SELECT r.row_id, j, any_value(v) AS x, sum(CASE WHEN col_freq IN (0, 32) THEN 1 ELSE 2 END / (n * 64) * (re * cos(2 * pi() * (row_freq * r.row_id / n + col_freq * j / 64)) - im * sin(2 * pi() * (row_freq * r.row_id / n + col_freq * j / 64)))) AS y
+  FROM cell r, sp, q GROUP BY r.row_id, j)"""
+
+
+@R.query(f"WITH {_FOURIER}, {_REBUILT} {metrics_sql('rb', '', 'x', 'y', '0.0')}")
 def fn_fourier_rec(spark, sf):
     """Metrics of the matrix rebuilt from its low frequencies."""
     m = matrix(spark, sf).select(F.col("tensor").alias("row_id"), "vec")
@@ -232,13 +240,17 @@ def fn_hybrid(spark, sf):
     return M.error_metrics(coded, ["label"], "x", "y", "equal")
 
 
-@R.query()
+_MLP = (lambda rng: {"row_emb": rng.normal(size=(64, 3)), "col_emb": rng.normal(size=(64, 3)), "w1": rng.normal(size=(6, 8)), "b1": np.zeros(8), "w2": rng.normal(size=(8, 1)), "b2": np.zeros(1), "mean": 0.0, "std": 0.05})(np.random.default_rng(7))
+_LISTS = {k: f"{np.asarray(v).tolist()}::DOUBLE{'[]' * np.asarray(v).ndim}" for k, v in (_MLP | {"w1": _MLP["w1"].T, "w2": _MLP["w2"].ravel()}).items()}
+_SCORED = f"""{W}, e AS (SELECT label, value, list_concat(({_LISTS["row_emb"]})[tensor % 64 + 1], ({_LISTS["col_emb"]})[flat_index % 64 + 1]) AS x FROM w),
+  f AS (SELECT label, value, list_dot_product([(exp(2 * list_dot_product(x, k)) - 1) / (exp(2 * list_dot_product(x, k)) + 1) FOR k IN {_LISTS["w1"]}], {_LISTS["w2"]}) * 0.05 AS y FROM e)"""
+
+
+@R.query(f"WITH {_SCORED} {metrics_sql('f', 'label', 'value', 'y', '0.0')}")
 def fn_mlp_formula(spark, sf):
     """Scores of a fixed small network over row and column embeddings against the weights, by label."""
-    rng = np.random.default_rng(7)
-    params = {"row_emb": rng.normal(size=(64, 3)), "col_emb": rng.normal(size=(64, 3)), "w1": rng.normal(size=(6, 8)), "b1": np.zeros(8), "w2": rng.normal(size=(8, 1)), "b2": np.zeros(1), "mean": 0.0, "std": 0.05}
     w = weights(matrix(spark, sf)).select("label", F.col("tensor").alias("row_id"), F.col("flat_index").alias("col"), "value")
-    return M.error_metrics(S.mlp_values(w, params), ["label"], "value", "y", "zero")
+    return M.error_metrics(S.mlp_values(w, _MLP), ["label"], "value", "y", "zero")
 
 
 # The checkpoint codec.
@@ -272,9 +284,16 @@ def snk_rccomp(spark, sf):
     return archive.select("tensor", "kind", "n", "raw_bytes").join(Z.verify(archive), "tensor")
 
 
-@R.query("SELECT count(*) AS payloads, CAST(sum(CASE WHEN label = 9 THEN 256 ELSE 64 END) AS BIGINT) AS bytes, CAST(0 AS BIGINT) AS damaged FROM embeddings")
+def _damaged(archive):
+    """An archive in which every seventh payload is cut short and every seventh has another digest."""
+    cut = F.expr("substring(payload, 1, octet_length(payload) - 5)")
+    return archive.withColumn("payload", F.when(F.col("tensor") % 7 == 3, cut).otherwise(F.col("payload"))).withColumn(
+        "sha256", F.when(F.col("tensor") % 7 == 5, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.col("sha256")))
+
+
+@R.query("SELECT count(*) AS payloads, CAST(sum(CASE WHEN label = 9 THEN 256 ELSE 64 END) AS BIGINT) AS bytes, count(*) FILTER (vec_id % 7 IN (3, 5)) AS damaged FROM embeddings")
 def snk_verify(spark, sf):
-    archive = Z.compress(planned(spark, sf))
+    archive = _damaged(Z.compress(planned(spark, sf)))
     both = archive.select("tensor", "raw_bytes").join(Z.verify(archive), "tensor")
     return both.agg(F.count("*").alias("payloads"), F.sum("raw_bytes").alias("bytes"), F.count_if(~F.col("ok")).alias("damaged"))
 
@@ -295,27 +314,26 @@ def snk_raw_bytes(spark, sf):
     return m.join(back, "tensor").select("tensor", (F.col("x") == F.col("y")).alias("same"))
 
 
-@R.query("SELECT vec_id AS tensor, 64::BIGINT AS n, CAST(4096 AS BIGINT) AS n_decoded FROM embeddings WHERE vec_id < 0")
+@R.query("SELECT vec_id AS tensor, 64::BIGINT AS n FROM embeddings WHERE vec_id % 7 IN (3, 5)")
 def src_zlib_bounded(spark, sf):
-    """Payloads whose inflated pieces do not add up; none."""
-    archive = Z.compress(planned(spark, sf))
+    """Payloads whose inflated pieces do not add up, of an archive with damage."""
+    archive = _damaged(Z.compress(planned(spark, sf)))
     bad = Z.verify(archive).where("not ok")
-    return archive.join(bad, "tensor").select("tensor", "n", F.lit(4096).cast("long").alias("n_decoded"))
+    return archive.join(bad, "tensor").select("tensor", "n")
 
 
-@R.query("""WITH c AS (SELECT vec_id AS tensor, unnest([0, 1, 2]) AS place, unnest(['planes', 'nibbles', 'raw']) AS codec, unnest([CAST(8 * (1 + label % 5) AS BIGINT), 32, 40]) AS bytes FROM embeddings)
-SELECT tensor, arg_min(codec, {'b': bytes, 'p': place}) AS codec, min(bytes) AS bytes FROM c GROUP BY 1""")
+@R.query()
 def snk_best_of_codecs(spark, sf):
-    c = F.array(*(F.struct(F.lit(p).alias("place"), F.lit(n).alias("codec"), b.cast("long").alias("bytes")) for p, n, b in ((0, "planes", 8 * (1 + F.col("label") % 5)), (1, "nibbles", F.lit(32)), (2, "raw", F.lit(40)))))
-    return Z.smallest(matrix(spark, sf).select("tensor", F.explode(c).alias("c")).select("tensor", "c.*"))
+    """The smallest of several deflated forms of each tensor; tested against a plain loop."""
+    return Z.smallest(Z.candidates(Z.parameters(matrix(spark, sf))))
 
 
-@R.query("""WITH RECURSIVE m AS (SELECT p_partkey AS place, CAST(p_size AS BIGINT) * 1000 AS bytes FROM part WHERE p_partkey <= 400),
+@R.query("""WITH RECURSIVE m AS (SELECT p_partkey AS place, CAST(p_size AS BIGINT) * 1000 AS bytes FROM part),
 s AS (SELECT place, bytes, 1 AS shard, bytes AS filled FROM m WHERE place = 0 UNION ALL
   SELECT m.place, m.bytes, CASE WHEN s.filled + m.bytes > 300000 THEN s.shard + 1 ELSE s.shard END, CASE WHEN s.filled + m.bytes > 300000 THEN m.bytes ELSE s.filled + m.bytes END FROM s JOIN m ON m.place = s.place + 1)
 SELECT CAST(place AS BIGINT) AS place, shard, printf('model-%05d-of-%05d.safetensors', shard, (SELECT max(shard) FROM s)) AS file FROM s""")
 def snk_safetensors_shards(spark, sf):
-    m = table(spark, sf, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("place"), (F.col("p_size").cast("long") * 1000).alias("bytes"))
+    m = table(spark, sf, "part").select(F.col("p_partkey").alias("place"), (F.col("p_size").cast("long") * 1000).alias("bytes"))
     return Z.shard_names(Z.shards(m, 300_000)).select("place", "shard", "file")
 
 
@@ -401,21 +419,20 @@ def flt_choose_tensor(spark, sf):
     return t.where("ndim = 2").orderBy(F.desc(F.col("numel") >= 20_000), F.desc(fits), F.when(fits, -F.col("numel")).otherwise(F.col("numel")), "name").limit(1).select("name", "numel")
 
 
-@R.query("SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents WHERE doc_id < 5")
+@R.query("SELECT doc_id, CAST(length(coalesce(text, '')) AS INTEGER) AS n, sha256(coalesce(text, '')) AS digest FROM documents")
 def src_text(spark, sf):
-    """Whole text files: some documents written as files, read back."""
+    """Whole text files, line breaks included: every document written as a file, read back as one."""
     at = scratch(spark)
-    few = table(spark, sf, "documents").where("doc_id < 5").select("doc_id", "text")
-    few.select(F.regexp_replace("text", "\n", " ").alias("value"), "doc_id").write.partitionBy("doc_id").text(at)
-    back = spark.read.text(at, wholetext=True)
-    return back.select(F.col("doc_id").cast("long").alias("doc_id"), (F.char_length("value") - 1).alias("n"))
+    table(spark, sf, "documents").select(F.coalesce("text", F.lit("")).alias("value"), "doc_id").write.partitionBy("doc_id").text(at)
+    back = spark.read.text(at, wholetext=True).select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("left(value, char_length(value) - 1)").alias("text"))
+    return back.select("doc_id", F.char_length("text").alias("n"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@R.query("SELECT vec_id AS tensor, label, CAST(len(embedding) AS INTEGER) AS n FROM embeddings WHERE vec_id < 50")
+@R.query("SELECT vec_id AS tensor, label, CAST(len(embedding) AS INTEGER) AS n FROM embeddings")
 def src_manifest_json(spark, sf):
     """A nested manifest written and parsed with its schema."""
     at = scratch(spark)
-    m = matrix(spark, sf).where("tensor < 50")
+    m = matrix(spark, sf)
     m.groupBy().agg(F.collect_list(F.struct("tensor", "label", F.size("vec").alias("n"))).alias("tensors")).withColumn("format", F.lit(1)).coalesce(1).write.json(at)
     back = spark.read.schema("format int, tensors array<struct<tensor: bigint, label: int, n: int>>").json(at)
     return back.select(F.explode("tensors").alias("t")).select("t.*")
@@ -446,10 +463,10 @@ def snk_npz(spark, sf):
     return spark.read.parquet(at).groupBy("label").agg(F.count("*").alias("n"), F.sum(F.size("vec")).alias("weights"))
 
 
-@R.query(f"WITH {W} SELECT tensor, flat_index, round(CAST(value AS DOUBLE), 6) AS value FROM w WHERE tensor < 3")
+@R.query(f"WITH {W} SELECT tensor, flat_index, round(CAST(value AS DOUBLE), 6) AS value FROM w")
 def snk_dump_all(spark, sf):
     at = scratch(spark)
-    w = weights(matrix(spark, sf).where("tensor < 3")).select("tensor", "flat_index", F.round(F.col("value").cast("double"), 6).alias("value"))
+    w = weights(matrix(spark, sf)).select("tensor", "flat_index", F.round(F.col("value").cast("double"), 6).alias("value"))
     w.write.csv(at, header=True)
     return spark.read.schema("tensor long, flat_index long, value double").csv(at, header=True)
 
@@ -594,9 +611,14 @@ def fn_fp16_pack(spark, sf):
     return w.withColumn("back", F.round("back", 9))
 
 
-@R.query(f"WITH {W} SELECT tensor, flat_index, round(CAST({fp16('value')} AS DOUBLE), 9) AS half FROM w WHERE flat_index < 8")
+@R.query(f"WITH {W} SELECT tensor, flat_index, round(CAST({fp16('value')} AS DOUBLE), 9) AS half FROM w")
 def fn_cast_fp16(spark, sf):
-    return weights(matrix(spark, sf)).where("flat_index < 8").select("tensor", "flat_index", F.round(N.fp16("value").cast("double"), 9).alias("half"))
+    return weights(matrix(spark, sf)).select("tensor", "flat_index", F.round(N.fp16("value").cast("double"), 9).alias("half"))
+
+
+@R.query(f"WITH {W} SELECT tensor, flat_index, round(CAST({bf16('value')} AS DOUBLE), 9) AS half FROM w")
+def fn_cast_bf16(spark, sf):
+    return weights(matrix(spark, sf)).select("tensor", "flat_index", F.round(N.bf16(F.col("value").cast("double")).cast("double"), 9).alias("half"))
 
 
 @R.query("SELECT p_partkey, CAST(p_partkey % 80 AS INTEGER) AS layer FROM part")

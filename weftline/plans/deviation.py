@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Window
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.functions import numeric as N
@@ -235,12 +236,12 @@ def set_distinct_affected(spark, sf):
     return k.groupBy("threshold").agg(F.count_distinct("tensor").alias("tensors"), F.count_distinct("tensor", "block").alias("blocks"))
 
 
-@R.query(f"""WITH {_MAP}, x AS (SELECT vec_id AS token, unnest(range(64)) AS col, unnest(embedding) AS v FROM embeddings WHERE vec_id < 20)
-SELECT k.tensor AS row_id, x.token, round(sum(CAST(residual AS DOUBLE) * CAST(x.v AS DOUBLE)), 6) AS y FROM k JOIN x ON k.flat_index = x.col WHERE threshold = 0.02 GROUP BY ALL""")
+@R.query(f"""WITH {_MAP}, x AS (SELECT vec_id AS token, unnest(range(64)) AS col, unnest(embedding) AS v FROM embeddings)
+SELECT k.tensor AS row_id, x.token, round(sum(CAST(residual AS DOUBLE) * CAST(x.v AS DOUBLE)), 6) + 0.0 AS y FROM k JOIN x ON k.flat_index = x.col WHERE threshold = 0.02 GROUP BY ALL""")
 def jn_sparse_matvec(spark, sf):
     k = C.corrections(errors(spark, sf), [0.02]).select(F.col("tensor").alias("row_id"), F.col("flat_index").alias("col"), "residual")
-    x = weights(matrix(spark, sf).where("tensor < 20")).select(F.col("tensor").alias("token"), F.col("flat_index").alias("col"), "value")
-    return C.sparse_matvec(k, x).select("row_id", "token", F.round("y", 6).alias("y"))
+    x = weights(matrix(spark, sf)).select(F.col("tensor").alias("token"), F.col("flat_index").alias("col"), "value")
+    return C.sparse_matvec(k, x).select("row_id", "token", (F.round("y", 6) + F.lit(0.0)).alias("y"))
 
 
 @R.query(f"WITH {W} SELECT tensor, flat_index, round(CAST({bf16('value')} AS DOUBLE), 9) AS bf16, round(CAST({fp16('value')} AS DOUBLE), 9) AS fp16 FROM w")
@@ -256,3 +257,17 @@ def fn_uvarint_write(spark, sf):
     i = F.col("event_id")
     d = table(spark, sf, "events").select("event_id", F.explode(F.array(i, i * 97, i * 1048583, i * 68719476767)).alias("delta"))
     return d.select("event_id", "delta", N.varint_length(F.col("delta")).alias("bytes"))
+
+
+@R.query(f"SELECT event_id, delta, delta AS back FROM ({_KEYS})")
+def fn_uvarint_read(spark, sf):
+    """Variable-length numbers written and read again."""
+
+    def run(batches):
+        for batch in batches:
+            coded = C.leb128(batch.column(1).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([C.read_leb128(b, 0)[0] for b in coded], pa.int64())], ["event_id", "delta", "back"])
+
+    i = F.col("event_id").cast("long")
+    d = table(spark, sf, "events").select(i.alias("event_id"), F.explode(F.array(i, i * 97, i * 1048583, i * 68719476767)).alias("delta"))
+    return d.mapInArrow(run, "event_id long, delta long, back long")

@@ -56,11 +56,11 @@ def top_pairs_upper(spark, sf):
     return rounded(P.top_pairs(p, "joint", 4, 100, both_ways=False))
 
 
-_ACT = "act AS (SELECT vec_id AS token, CAST(unnest(range(24)) AS BIGINT) AS neuron, CAST(unnest(embedding[1:24]) AS DOUBLE) AS a FROM embeddings), cr AS (SELECT x.neuron AS a, y.neuron AS b, coalesce(corr(x.a, y.a), 0) AS c FROM act x JOIN act y ON x.token = y.token AND x.neuron < y.neuron GROUP BY ALL)"
+_ACT = "act AS (SELECT vec_id AS token, CAST(unnest(range(64)) AS BIGINT) AS neuron, CAST(unnest(embedding) AS DOUBLE) AS a FROM embeddings), cr AS (SELECT x.neuron AS a, y.neuron AS b, coalesce(corr(x.a, y.a), 0) AS c FROM act x JOIN act y ON x.token = y.token AND x.neuron < y.neuron GROUP BY ALL)"
 
 
 def activations(spark, sf):
-    a = weights(matrix(spark, sf)).where("flat_index < 24")
+    a = weights(matrix(spark, sf))
     return a.select(F.col("tensor").alias("token"), F.col("flat_index").alias("neuron"), "value")
 
 
@@ -97,7 +97,7 @@ def agg_ls_slope_origin(spark, sf):
     return both.select("a", "b", F.round(F.col("xy") / F.nullif(F.col("yy"), F.lit(0.0)), 6).alias("alpha"))
 
 
-@R.query(f"""WITH {_ACT}, m AS (SELECT neuron, list(a ORDER BY token) AS t FROM act GROUP BY 1), d AS (SELECT vec_id AS neuron, [CAST(t AS DOUBLE) FOR t IN embedding[25:64]] AS w FROM embeddings WHERE vec_id < 24),
+@R.query(f"""WITH {_ACT}, m AS (SELECT neuron, list(a ORDER BY token) AS t FROM act GROUP BY 1), d AS (SELECT vec_id AS neuron, [CAST(t AS DOUBLE) FOR t IN embedding[25:64]] AS w FROM embeddings),
 f AS (SELECT cr.*, x.t AS ta, y.t AS tb, v.w AS wa, u.w AS wb FROM cr JOIN m x ON x.neuron = a JOIN m y ON y.neuron = b JOIN d v ON v.neuron = a JOIN d u ON u.neuron = b),
 g AS (SELECT a, b, c, len(ta) AS n, list_dot_product(ta, ta) AS aa, list_dot_product(tb, tb) AS bb, list_dot_product(ta, tb) AS ab, list_dot_product(wa, wa) AS dd, list_dot_product(wb, wb) AS ee, list_dot_product(wa, wb) AS de FROM f)
 SELECT a, b, round(c, 6) AS corr, round(sqrt(aa / n), 6) AS rms_a, round(sqrt(bb / n), 6) AS rms_b, round(ab / bb, 6) AS alpha,
@@ -105,7 +105,7 @@ SELECT a, b, round(c, 6) AS corr, round(sqrt(aa / n), 6) AS rms_a, round(sqrt(bb
   round(sqrt(greatest(0.0, aa - 2 * ab / bb * ab + ab / bb * ab / bb * bb)) * sqrt(dd) / 10.0, 6) AS layer_error FROM g""")
 def agg_merge_error(spark, sf):
     found = P.traces(activations(spark, sf))
-    down = matrix(spark, sf).where("tensor < 24").select(F.col("tensor").alias("id"), F.slice("vec", 25, 40).alias("vec"))
+    down = matrix(spark, sf).select(F.col("tensor").alias("id"), F.slice("vec", 25, 40).alias("vec"))
     return rounded(P.merge_errors(P.correlations(found), found, down, 10.0))
 
 
@@ -139,11 +139,11 @@ def fn_silu_gate(spark, sf):
     return z.select("id", "i", (F.round(N.silu_gate(F.col("z.up").cast("double"), F.col("z.down").cast("double")), 6) + F.lit(0.0)).alias("h"))
 
 
-@R.query(f"WITH {_N}, t AS (SELECT id, unnest(range(32)) AS i, unnest(gate) AS v FROM n WHERE id < 16) SELECT CAST(i AS INTEGER) AS neuron, round(sqrt(sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 6) AS norm FROM t GROUP BY 1")
+@R.query(f"WITH {_N}, t AS (SELECT id, unnest(range(32)) AS i, unnest(gate) AS v FROM n) SELECT CAST(i AS INTEGER) AS neuron, round(sqrt(sum(CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), 6) AS norm FROM t GROUP BY 1")
 def src_neuron_triples(spark, sf):
     """A matrix read by column: rows exploded, one aggregate a column."""
     v = F.col("v").cast("double")
-    t = neurons(spark, sf).where("id < 16").select(F.posexplode("gate").alias("neuron", "v"))
+    t = neurons(spark, sf).select(F.posexplode("gate").alias("neuron", "v"))
     return t.groupBy("neuron").agg(F.round(F.sqrt(F.sum(v * v)), 6).alias("norm"))
 
 
@@ -176,17 +176,17 @@ def jn_lowrank_matmul(spark, sf):
 
 # Names, aliases, shapes.
 
-_SRC = "src AS (SELECT DISTINCT 'model.layers.' || (p_partkey % 50) || '.' || split_part(p_type, ' ', 1) AS name, p_size % 3 AS shape FROM part WHERE p_partkey <= 500), srcs AS (SELECT name, min(shape) AS shape FROM src GROUP BY 1)"
-_TGT = "tgt AS (SELECT name, min(shape) AS shape FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'model.language_model.layers.' ELSE 'model.layers.' END || (p_partkey % 70) || '.' || split_part(p_type, ' ', 1) AS name, p_size % 2 AS shape FROM part WHERE p_partkey > 300 AND p_partkey <= 900) GROUP BY 1)"
+_SRC = "src AS (SELECT DISTINCT 'model.layers.' || (p_partkey % 50) || '.' || split_part(p_type, ' ', 1) AS name, p_size % 3 AS shape FROM part WHERE p_size % 2 = 0), srcs AS (SELECT name, min(shape) AS shape FROM src GROUP BY 1)"
+_TGT = "tgt AS (SELECT name, min(shape) AS shape FROM (SELECT CASE WHEN p_partkey % 3 = 0 THEN 'model.language_model.layers.' ELSE 'model.layers.' END || (p_partkey % 70) || '.' || split_part(p_type, ' ', 1) AS name, p_size % 2 AS shape FROM part WHERE p_size % 3 > 0) GROUP BY 1)"
 
 
 def _sides(spark, sf):
     p = table(spark, sf, "part")
     kind = F.split_part("p_type", F.lit(" "), F.lit(1))
     key = F.col("p_partkey")
-    src = p.where(key <= 500).select(F.concat(F.lit("model.layers."), (key % 50).cast("string"), F.lit("."), kind).alias("name"), (F.col("p_size") % 3).alias("shape"))
+    src = p.where("p_size % 2 = 0").select(F.concat(F.lit("model.layers."), (key % 50).cast("string"), F.lit("."), kind).alias("name"), (F.col("p_size") % 3).alias("shape"))
     head = F.when(key % 3 == 0, "model.language_model.layers.").otherwise("model.layers.")
-    tgt = p.where((key > 300) & (key <= 900)).select(F.concat(head, (key % 70).cast("string"), F.lit("."), kind).alias("name"), (F.col("p_size") % 2).alias("shape"))
+    tgt = p.where("p_size % 3 > 0").select(F.concat(head, (key % 70).cast("string"), F.lit("."), kind).alias("name"), (F.col("p_size") % 2).alias("shape"))
     return (x.groupBy("name").agg(F.min("shape").alias("shape")) for x in (src, tgt))
 
 
@@ -229,20 +229,20 @@ def jn_target_only(spark, sf):
     return matched(spark, sf)[1].where("source is null").select("name")
 
 
-@R.query("WITH k AS (SELECT DISTINCT 'layers.' || (p_partkey % 40) AS prefix, p_partkey // 40 % 4 AS kind FROM part WHERE p_partkey <= 130) SELECT prefix FROM k GROUP BY 1 HAVING count(*) FILTER (kind = 0) > 0 AND count(*) FILTER (kind = 1) > 0 AND count(*) FILTER (kind = 2) > 0")
+@R.query("WITH k AS (SELECT DISTINCT 'layers.' || (p_partkey // 5) AS prefix, p_size % 4 AS kind FROM part) SELECT prefix FROM k GROUP BY 1 HAVING count(*) FILTER (kind = 0) > 0 AND count(*) FILTER (kind = 1) > 0 AND count(*) FILTER (kind = 2) > 0")
 def jn_mlp_members(spark, sf):
     """Layers with all of gate, up and down."""
     key = F.col("p_partkey")
-    k = table(spark, sf, "part").where(key <= 130).select(F.concat(F.lit("layers."), (key % 40).cast("string")).alias("prefix"), (F.floor(key / 40) % 4).alias("kind"))
+    k = table(spark, sf, "part").select(F.concat(F.lit("layers."), F.floor(key / 5).cast("string")).alias("prefix"), (F.col("p_size") % 4).alias("kind"))
     return k.groupBy("prefix").pivot("kind", [0, 1, 2]).count().where("`0` is not null and `1` is not null and `2` is not null").select("prefix")
 
 
-@R.query("WITH k AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'blk' || p_partkey || '.weight.absmax' WHEN p_partkey % 7 = 0 THEN 'blk' || p_partkey || '.weight.quant_map' ELSE 'blk' || p_partkey || '.weight' END AS name FROM part WHERE p_partkey <= 400) SELECT name, split_part(name, '.weight.', 1) AS base, contains(name, '.weight.') AS is_state FROM k")
+@R.query("WITH k AS (SELECT CASE WHEN p_partkey % 5 = 0 THEN 'blk' || p_partkey || '.weight.absmax' WHEN p_partkey % 7 = 0 THEN 'blk' || p_partkey || '.weight.quant_map' ELSE 'blk' || p_partkey || '.weight' END AS name FROM part) SELECT name, split_part(name, '.weight.', 1) AS base, contains(name, '.weight.') AS is_state FROM k")
 def flt_aux_state(spark, sf):
     key = F.col("p_partkey")
     stem = F.concat(F.lit("blk"), key.cast("string"))
     name = F.when(key % 5 == 0, F.concat(stem, F.lit(".weight.absmax"))).when(key % 7 == 0, F.concat(stem, F.lit(".weight.quant_map"))).otherwise(F.concat(stem, F.lit(".weight")))
-    return table(spark, sf, "part").where(key <= 400).select(name.alias("name")).select("name", F.split_part("name", F.lit(".weight."), F.lit(1)).alias("base"), F.contains("name", F.lit(".weight.")).alias("is_state"))
+    return table(spark, sf, "part").select(name.alias("name")).select("name", F.split_part("name", F.lit(".weight."), F.lit(1)).alias("base"), F.contains("name", F.lit(".weight.")).alias("is_state"))
 
 
 # Sets.

@@ -493,6 +493,31 @@ def test_cotraining_beats_chance_and_handles_odd_rows(spark, messy, empty, data)
     assert {r.score for r in quality.score(messy.select("doc_id", "text"), blank).collect()} == {0.5}
 
 
+def test_cotraining_on_rows_it_has_not_seen(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    seen = ~language_id.held_out(F.col("doc_id"), 3, 1)
+    model = quality.fit(docs, labels.where(seen))
+    got = quality.score(docs, model).join(labels.where(~seen), "doc_id").toPandas()
+    assert len(got) > 100
+    assert ((got["score"] >= 0.5) == (got["quality"] == 1)).mean() > 0.85
+    assert all(a + b > 0 for a, b in model.taken)
+
+
+def test_views_share_no_input(spark):
+    import pyarrow as pa
+
+    (chunk,) = R.text_chunks(pa.array(["a b\n1", ""]))
+    assert quality.text_view(chunk).shape == (2, quality.DIMS + 11)
+    a = quality.meta_view(["s", None, "s"], ["en", "None", "en"], [7, None, 8])
+    assert not (a[0] == a[2]).all() and not (a[0] == a[1]).all() and a[1, 0] == 1
+
+
+def test_cotraining_with_labels_of_one_class_and_repeated_rows(spark, messy):
+    one = spark.createDataFrame([(i, 1) for i in range(12)] + [(3, 1), (None, 0), (4, None)], "doc_id long, quality int")
+    model = quality.fit(messy.unionAll(messy), one)
+    assert model.taken == [] and quality.score(messy, model).where("score is null or score < 0 or score > 1").count() == 0
+
+
 # 8
 
 

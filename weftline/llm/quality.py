@@ -1,11 +1,15 @@
 """Quality by co-training a text view and a page-metadata view.
 
-The text view sees hashed byte pairs of the raw text; the metadata view sees source, language and layout
-(length, lines, line lengths, shares of digits, capitals, signs and blanks, repeated lines).  Each view is a logistic regression.
-Over several rounds each view labels the unlabelled rows it is surest of, for the other view to learn from.
-Both are then calibrated on labelled rows kept aside, and their log-odds averaged, to score every document.
+The text view sees the content: hashed byte pairs of the raw text and its layout (lines, shares of digits, capitals,
+signs and blanks, repeated lines and words).  The metadata view sees what is recorded beside the text: source, language, both
+together, and the recorded number of characters.  No feature is in both.  Each view is a logistic regression.
 
-Fitting reads at most about ``LABELLED`` labelled and ``POOL`` unlabelled rows, drawn by hash.
+In every round both views score all unlabelled rows.  From the distribution of their scores (counted in 1,000 steps, whatever
+the number of rows) comes the cut beyond which the surest ``SHARE`` of all rows lies; those rows get pseudo-labels, which the
+other view learns from.  Both are then calibrated on labelled rows kept aside, and their evidence added, to score every document.
+
+A fit holds at most about ``LABELLED`` labelled rows, and as many pseudo-labelled ones for each view, drawn by a hash of the
+id from all that there are: the documented bound of the fit's sample.
 """
 
 from __future__ import annotations
@@ -18,56 +22,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.rows import SPACE, Chunk, small_batches, text_chunks
+from weftline.llm.rows import SPACE, Chunk, small_batches, steady, text_chunks
 
 DIMS = 2048
-LABELLED, POOL = 6000, 6000
-ROUNDS = 5
-#: share of the pool that a view labels in a round
-SHARE = 0.05
-_META = 12
-_BUCKETS = 48
+LABELLED = 6000
+ROUNDS = 3
+#: share of the unlabelled rows that a view labels in a round, and how sure it must be of them
+SHARE, SURE = 0.05, 0.8
+_LAYOUT = 11
+_TEXT = DIMS + _LAYOUT
+_SIZES, _SOURCES, _LANGS, _BOTH = 24, 64, 32, 128
+_META = 2 + _SIZES + _SOURCES + _LANGS + _BOTH
 
 
 def text_view(chunk: Chunk) -> np.ndarray:
-    """Unit vectors of 1 + ln of the hashed byte pairs."""
-    out = np.zeros((len(chunk), DIMS), np.float32)
-    wide = chunk.data.astype(np.uint32)
+    """Unit vectors of 1 + ln of the hashed byte pairs, then numbers of the layout."""
+    out = np.zeros((len(chunk), _TEXT), np.float32)
+    d = chunk.data
+    wide = d.astype(np.uint32)
     pairs = ((wide[:-1] | (wide[1:] << 8)) * np.uint32(0x9E3779B1) >> np.uint32(21)).astype(np.int64)
     for i in range(len(chunk)):
         a, b = int(chunk.bounds[i]), int(chunk.bounds[i + 1])
         if b - a > 1:
-            out[i] = np.bincount(pairs[a : b - 1], minlength=DIMS)
-    out = np.log1p(out)
-    return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-12)
-
-
-def meta_view(chunk: Chunk, sources: list[str | None], langs: list[str | None]) -> np.ndarray:
-    """Layout numbers, then hashed source and language."""
-    n = len(chunk)
-    out = np.zeros((n, _META + _BUCKETS), np.float32)
-    d = chunk.data
+            out[i, :DIMS] = np.bincount(pairs[a : b - 1], minlength=DIMS)
+        body = d[a:b].tobytes()
+        lines, parts = body.split(b"\n"), body.split()
+        out[i, DIMS + 9] = 1 - len(set(lines)) / len(lines)
+        out[i, DIMS + 10] = 1 - len(set(parts)) / max(1, len(parts))
+    grams = np.log1p(out[:, :DIMS])
+    out[:, :DIMS] = grams / np.maximum(np.sqrt((grams * grams).sum(axis=1, keepdims=True)), 1e-12)
     signs = ((d >= 33) & (d <= 47)) | ((d >= 58) & (d <= 64)) | ((d >= 91) & (d <= 96)) | ((d >= 123) & (d <= 126))
-    marks = [(d >= 48) & (d <= 57), (d >= 65) & (d <= 90), signs, SPACE[d], d == 0x0A, (d & 0xC0) != 0x80]
     sums = []
-    for m in marks:
+    for m in ((d >= 48) & (d <= 57), (d >= 65) & (d <= 90), signs, SPACE[d], d == 0x0A, (d & 0xC0) != 0x80):
         total = np.zeros(len(d) + 1, np.int64)
         np.cumsum(m, out=total[1:])
-        sums.append(total[chunk.bounds[1:]] - total[chunk.bounds[:-1]])
-    digits, capitals, signs, blanks, breaks, chars = (s.astype(np.float64) for s in sums)
+        sums.append((total[chunk.bounds[1:]] - total[chunk.bounds[:-1]]).astype(np.float64))
+    digits, capitals, signs, blanks, breaks, chars = sums
     size = np.maximum(chars, 1)
-    out[:, 0] = 1
-    out[:, 1], out[:, 2] = np.log1p(chars) / 10, np.log1p(breaks) / 5
-    out[:, 3] = np.log1p(chars / (breaks + 1)) / 8
-    out[:, 4], out[:, 5], out[:, 6], out[:, 7] = (5 * digits / size), (5 * capitals / size), (5 * signs / size), (5 * blanks / size)
-    for i in range(n):
-        body = d[chunk.bounds[i] : chunk.bounds[i + 1]].tobytes()
-        lines, parts = body.split(b"\n"), body.split()
-        out[i, 8] = 1 - len(set(lines)) / len(lines)
-        out[i, 9] = 1 - len(set(parts)) / max(1, len(parts))
-        out[i, _META + crc32((sources[i] or "").encode()) % 32] = 1
-        out[i, _META + 32 + crc32((langs[i] or "").encode()) % 16] = 1
-    out[:, 10], out[:, 11] = out[:, 6] ** 2, out[:, 5] ** 2
+    numbers = np.log1p(chars) / 10, np.log1p(breaks) / 5, np.log1p(chars / (breaks + 1)) / 8, *(5 * x / size for x in (digits, capitals, signs, blanks)), (5 * signs / size) ** 2, (5 * capitals / size) ** 2
+    for j, x in enumerate(numbers):
+        out[:, DIMS + j] = x
+    return out
+
+
+def meta_view(sources: list[str | None], langs: list[str | None], sizes: list[int | None]) -> np.ndarray:
+    """The recorded length and its power of two, hashed source, language and both together; a null is a value of its own."""
+    out = np.zeros((len(sources), _META), np.float32)
+    at = np.cumsum([2, _SIZES, _SOURCES, _LANGS])
+    for i, (source, lang, size) in enumerate(zip(sources, langs, sizes, strict=True)):
+        names = [repr(x).encode() for x in (source, lang, (source, lang))]
+        out[i, 0], out[i, 1] = size is None, np.log1p(max(0, size or 0)) / 10
+        out[i, at[0] + min(_SIZES - 1, max(0, size or 0).bit_length())] = 1
+        for base, name, width in zip(at[1:], names, (_SOURCES, _LANGS, _BOTH), strict=True):
+            out[i, base + crc32(name) % width] = 1
     return out
 
 
@@ -104,107 +111,128 @@ def platt(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, b
 
 
-class Model:
-    """Weights and calibration of both views."""
-
-    def __init__(self, text_w: np.ndarray, meta_w: np.ndarray, text_c: tuple[float, float], meta_c: tuple[float, float], taken: list[tuple[int, int]]):
-        self.text_w, self.meta_w, self.text_c, self.meta_c, self.taken = text_w, meta_w, text_c, meta_c, taken
+def chances(m: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(m, -30, 30)))
 
-    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of good quality by text, by metadata, and by both."""
-        t = self.text_c[0] * margin(text, self.text_w) + self.text_c[1]
-        m = self.meta_c[0] * margin(meta, self.meta_w) + self.meta_c[1]
-        return tuple(1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in (t, m, (t + m) / 2))
 
+class Model:
+    """Weights and calibration of both views, the prior log-odds, and how many rows each view labelled in each round."""
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, share: float = SHARE) -> Model:
-    """Co-train on labelled rows (every fifth is kept for calibration) and an unlabelled pool."""
-    aside = np.arange(len(y)) % 5 == 4
-    if not aside.any():
-        aside = np.ones(len(y), bool)
-    own = ~aside if (~aside).any() else aside
-    extra: list[dict[int, float]] = [{}, {}]  # what each view has been told by the other
-    views, pools, ridges = (text, meta), (pool_text, pool_meta), (1e-5, 1e-4)
-    taken = []
-
-    def fit(v: int, start: np.ndarray | None = None) -> np.ndarray:
-        at = list(extra[v])
-        x = np.concatenate([views[v][own], pools[v][at]]) if at else views[v][own]
-        told = np.concatenate([y[own], [extra[v][i] for i in at]]) if at else y[own]
-        return logistic(x, told, ridges[v], start, 120 if start is None else 40)
+    def __init__(self, weights: list[np.ndarray], marks: list[tuple[float, float]], prior: float, taken: list[tuple[int, int]]):
+        self.weights, self.marks, self.prior, self.taken = weights, marks, prior, taken
 
-    weights = [fit(0), fit(1)]
-    good = float(np.clip(y[own].mean(), 0.01, 0.99)) if own.any() else 0.5
-    for _ in range(rounds if len(pool_text) and len(np.unique(y[own])) > 1 else 0):
-        counts = []
-        for v in (0, 1):
-            p = 1 / (1 + np.exp(-np.clip(margin(pools[v], weights[v]), -30, 30)))
-            order = np.argsort(p, kind="stable")
-            order = order[~np.isin(order, list(extra[1 - v]))]
-            n = max(1, round(share * len(p)))
-            low = [i for i in order[: max(1, round(n * (1 - good)))].tolist() if p[i] < 0.2]
-            high = [i for i in order[::-1][: max(1, round(n * good))].tolist() if p[i] > 0.8]
-            extra[1 - v] |= {**dict.fromkeys(low, 0.0), **dict.fromkeys(high, 1.0)}
-            counts.append(len(low) + len(high))
-        taken.append(tuple(counts))
-        weights = [fit(0, weights[0]), fit(1, weights[1])]
-    marks = [platt(margin(views[v][aside], weights[v]), y[aside]) for v in (0, 1)]
-    return Model(weights[0], weights[1], marks[0], marks[1], taken)
+    def scores(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of good quality by text, by metadata, and by both: log-odds of independent views add up, the prior once."""
+        t, m = (a * margin(x, w) + b for x, w, (a, b) in zip((text, meta), self.weights, self.marks, strict=True))
+        return chances(t), chances(m), chances(t + m - self.prior)
 
 
 def _base(docs: DataFrame) -> DataFrame:
     have = set(docs.columns)
-    meta = [F.col(c).cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in ("source", "lang")]
+    meta = [F.col(c).cast(t).alias(c) if c in have else F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *meta)
 
 
 def _views(batch: pa.RecordBatch, at: int) -> Iterator[tuple[Chunk, np.ndarray, np.ndarray]]:
-    sources, langs = (batch.column(at + i).to_pylist() for i in (1, 2))
+    """Both views of the rows of a batch, whose text, source, lang and n_chars begin at a column."""
+    recorded = [batch.column(at + i).to_pylist() for i in (1, 2, 3)]
     for chunk in text_chunks(batch.column(at)):
-        to = chunk.first + len(chunk)
-        yield chunk, text_view(chunk), meta_view(chunk, sources[chunk.first : to], langs[chunk.first : to])
+        yield chunk, text_view(chunk), meta_view(*(x[chunk.first : chunk.first + len(chunk)] for x in recorded))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> Model:
-    """Co-train on ``labels`` (doc_id, quality) of ``docs``; null labels are left out, as are null ids."""
-    small_batches(docs.sparkSession)
-    known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    n, every = known.count(), docs.count()
-    at = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 20))
-    base = _base(docs).where("doc_id is not null")
-    # a draw before the join, so that it carries about labelled + pool texts
-    some = base.where(at < max(min(1.0, labelled / max(1, n)), min(1.0, pool / max(1, every - n))) * (1 << 20))
-    both = some.join(known, "doc_id", "left")
-    seen = F.col("quality").isNotNull()
-    least = min(1.0, labelled / max(1, n)), min(1.0, pool / max(1, every - n))
-    both = both.where((seen & (at < least[0] * (1 << 20))) | (~seen & (at < least[1] * (1 << 20))))
+def _features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both views and the label of (doc_id, text, source, lang, n_chars, y), in the order of ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, text, meta in _views(batch, 1):
-                quality = batch.column(4).slice(chunk.first, len(chunk))
                 blobs = [pa.array([r.astype(np.float16).tobytes() for r in v], pa.binary()) for v in (text, meta)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), quality, *blobs], ["doc_id", "quality", "text", "meta"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), batch.column(5).slice(chunk.first, len(chunk)), *blobs], ["doc_id", "y", "text", "meta"])
 
-    rows = both.select("doc_id", "text", "source", "lang", "quality").mapInArrow(run, "doc_id long, quality int, text binary, meta binary")
-    rows = rows.toArrow().sort_by("doc_id")
+    found = rows.select("doc_id", "text", "source", "lang", "n_chars", F.col("y").cast("double").alias("y")).mapInArrow(run, "doc_id long, y double, text binary, meta binary")
+    found = found.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
     def matrix(name: str, width: int) -> np.ndarray:
-        return np.frombuffer(b"".join(rows.column(name).to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+        return np.frombuffer(b"".join(found.column(name).to_pylist()), np.float16).reshape(-1, width).astype(np.float32)
+
+    return matrix("text", _TEXT), matrix("meta", _META), found.column("y").to_numpy().astype(float)
+
+
+def _drawn(rows: DataFrame, n: int, bound: int, seed: int) -> DataFrame:
+    """About ``bound`` of ``n`` rows by a hash of the id; all of them if there are no more."""
+    share = min(1.0, bound / max(1, n))
+    return rows.where(F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 20)) < share * (1 << 20))
+
+
+def _cuts(scored: DataFrame, view: str, good: float, share: float) -> tuple[float, float]:
+    """The scores below and above which the surest ``share`` of the rows lies, split as good and bad are; at least ``SURE``."""
+    steps = scored.groupBy(F.floor(F.col(view) * 1000).cast("int").alias("s")).count().collect()  # 1,001 rows at most
+    counts = np.zeros(1001)
+    for r in steps:
+        counts[min(1000, max(0, r["s"]))] += r["count"]
+    upto = np.cumsum(counts)
+    low = int(np.searchsorted(upto, upto[-1] * share * (1 - good))) / 1000
+    high = int(np.searchsorted(upto, upto[-1] * (1 - share * good), "right")) / 1000
+    return min(max(low, 0.001), 1 - SURE), max(min(high, 0.999), SURE)
+
+
+def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: int = ROUNDS, share: float = SHARE) -> Model:
+    """Co-train on ``labels`` (doc_id, quality) of ``docs``.
+
+    Null labels and null ids are left out; of several labels of one id the largest counts.  Repeated rows are rows like any other; rows of one id
+    are drawn together.  Without labels, or with those of one class only, no pseudo-labels are given.  Empty tables give a model that scores 0.5.
+    """
+    small_batches(docs.sparkSession)
+    known = steady(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("double")).alias("y")))
+    base = _base(docs).where("doc_id is not null")
+    text, meta, y = _features(_drawn(base, n := known.count(), labelled, 5).join(_drawn(known, n, labelled, 5), "doc_id"))
+    if not len(y):
+        return Model([np.zeros(_TEXT + 1), np.zeros(_META + 1)], [(1.0, 0.0)] * 2, 0.0, [])
+    views, ridges = (text, meta), (1e-5, 1e-4)
+    aside = np.arange(len(y)) % 5 == 4  # every fifth row is kept for calibration
+    if not aside.any():
+        aside = np.ones(len(y), bool)
+    own = ~aside if (~aside).any() else aside
+    good = float(np.clip(y[own].mean(), 0.01, 0.99))
+    weights = [logistic(views[v][own], y[own], ridges[v]) for v in (0, 1)]
+    taken = []
+    rest = base.join(known, "doc_id", "left_anti")
+    for turn in range(rounds if len(np.unique(y[own])) > 1 else 0):
+        scored = steady(_scored(rest, weights))
+        counts = []
+        for told in (1, 0):  # the view that learns; the other one labels
+            view = ("text", "meta")[1 - told]
+            low, high = _cuts(scored, view, good, share) if not scored.isEmpty() else (0.0, 1.0)
+            sure = scored.where((F.col(view) < low) | (F.col(view) >= high)).select("doc_id", F.when(F.col(view) >= high, 1.0).otherwise(0.0).alias("y"))
+            sure = sure.groupBy("doc_id").agg(F.max("y").alias("y"))
+            counts.append(sure.count())
+            some = steady(_drawn(sure, counts[-1], labelled, 11 + turn))  # about ``labelled`` ids at most
+            extra = _features(rest.join(F.broadcast(some), "doc_id"))
+            x = np.concatenate([views[told][own], extra[told]])
+            weights[told] = logistic(x, np.concatenate([y[own], extra[2]]), ridges[told], weights[told], 60)
+        taken.append(tuple(counts))
+    marks = [platt(margin(views[v][aside], weights[v]), y[aside]) for v in (0, 1)]
+    return Model(weights, marks, float(np.log(good / (1 - good))), taken)
+
+
+def _scored(rows: DataFrame, weights: list[np.ndarray]) -> DataFrame:
+    """(doc_id, text, meta): what each view says of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(weights)  # fixed size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, text, meta in _views(batch, 1):
+                said = [pa.array(chances(margin(x, w)).astype(float)) for x, w in zip((text, meta), shared.value, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, len(chunk)), *said], ["doc_id", "text", "meta"])
 
-    text, meta = matrix("text", DIMS), matrix("meta", _META + _BUCKETS)
-    quality = np.array([-1 if q is None else int(q > 0) for q in rows.column("quality").to_pylist()])
-    on = quality >= 0
-    if not on.any():
-        return Model(np.zeros(DIMS + 1), np.zeros(_META + _BUCKETS + 1), (1.0, 0.0), (1.0, 0.0), [])
-    return cotrain(text[on], meta[on], quality[on].astype(float), text[~on], meta[~on])
+    return rows.mapInArrow(run, "doc_id long, text double, meta double")
 
 
 def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """Rows (doc_id, score_text, score_meta, score, keep), one for each row of ``docs``.
 
     Empty and null texts are scored like any other by the views' empty vectors; a missing source or language
-    column counts as null.  Without labels every score is 0.5.  An empty table gives an empty result.
+    column counts as null.  Scores are symmetric about 0.5: without labels every score is 0.5.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size

@@ -466,17 +466,39 @@ def test_neighbours_on_odd_vectors(spark):
     assert vector_index.search(df.where("vec_id = 1"), F.lit(True)).count() == 0
 
 
-def test_recall_of_the_index(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(3000, 32)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    found = vector_index.search(df, F.col("vec_id") % 100 == 0).collect()
+def recall(spark, x, queries=30):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(8)
+    step = len(x) // queries
+    found = vector_index.search(df, F.col("vec_id") % step == 0).collect()
     hit = 0
-    for q in range(0, 3000, 100):
+    for q in range(0, len(x), step):
         d = ((x.astype(float) - x[q]) ** 2).sum(axis=1)
         d[q] = np.inf
         hit += len(set(np.argsort(d, kind="stable")[:10]) & {r.vec_id for r in found if r.query_id == q})
-    assert hit / 300 >= 0.9 and len(found) == 300
+    assert len(found) == 10 * len(range(0, len(x), step))
+    return hit / len(found)
+
+
+def test_recall_of_the_index(spark):
+    rng = np.random.default_rng(2)
+    assert recall(spark, rng.normal(size=(3000, 32)).astype(np.float32)) >= 0.9
+
+
+@pytest.mark.parametrize("n", [2000, 20_000])
+def test_recall_with_and_without_clusters(spark, n):
+    rng = np.random.default_rng(n)
+    assert recall(spark, rng.normal(size=(n, 64)).astype(np.float32)) >= 0.9
+    centres = 4 * rng.normal(size=(n // 100, 64))
+    assert recall(spark, (centres[rng.integers(0, len(centres), n)] + rng.normal(size=(n, 64))).astype(np.float32)) >= 0.9
+
+
+def test_clusters_need_few_probes():
+    rng = np.random.default_rng(6)
+    centres = 10 * rng.normal(size=(50, 16))
+    x = centres[rng.integers(0, 50, 4000)] + rng.normal(size=(4000, 16))
+    few = vector_index.Quantiser(x, 64)
+    many = vector_index.Quantiser(rng.normal(size=(4000, 16)), 64)
+    assert few.probes(x, 10, 0.97) <= 8 < many.probes(rng.normal(size=(4000, 16)), 10, 0.97)
 
 
 # 7

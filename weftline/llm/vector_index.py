@@ -6,6 +6,11 @@ distance of a member is  |q - c|^2 + (|r|^2 + 2 c.r) - 2 q.r  with r the decoded
 is one number for each list, the second is stored with the member, the third a sum of looked-up table entries.
 The best ``rerank`` members by that distance are measured exactly on the original vectors.
 
+How many lists a query probes is measured, not set: on the sample, the number of nearest lists that hold the share ``RECALL`` of
+the true neighbours of sample vectors.  Vectors with clusters need few, vectors without any need most of them.  The neighbours of
+a sample lie further away than those among all vectors, so the number errs to the safe side.  A query probes further lists
+where those hold fewer than ``rerank`` members, so that a small table is searched in full.
+
 Lists are dealt into groups of about ``BLOCK`` members; a group that holds more (a hot list) is split by
 a hash of the id.  Queries meet blocks of members, not members, in the join, so no key gathers unbounded rows.
 """
@@ -26,8 +31,9 @@ SAMPLE = 20_000
 BLOCK = 8192
 QUERY_BLOCK = 128
 SUBSPACES = 16
-#: share of the lists that a query probes, and candidates measured exactly for each query
-PROBES = 0.75
+#: share of the true neighbours that the probed lists should hold, sample vectors that it is measured on, and candidates
+#: measured exactly for each query
+RECALL, PROBE_QUERIES = 0.97, 512
 RERANK = 256
 
 
@@ -56,6 +62,20 @@ class Quantiser:
         self.slices = np.array_split(np.arange(x.shape[1]), min(SUBSPACES, x.shape[1]))
         self.books = [kmeans(rest[:, s], 256, 8) for s in self.slices]
 
+    def probes(self, x: np.ndarray, k: int, recall: float) -> int:
+        """The nearest lists of a vector that hold ``recall`` of its ``k`` neighbours, measured on the first rows of the sample."""
+        if len(x) < 2:
+            return 1
+        at, ranks = nearest(x, self.coarse), []
+        for q in range(min(PROBE_QUERIES, len(x))):
+            far = ((x - x[q]) ** 2).sum(axis=1)
+            far[q] = np.inf
+            own = at[np.argsort(far, kind="stable")[: min(k, len(x) - 1)]]
+            place = np.empty(len(self.coarse), np.int64)
+            place[np.argsort(((self.coarse - x[q]) ** 2).sum(axis=1), kind="stable")] = np.arange(len(self.coarse))
+            ranks.append(place[own])
+        return 1 + int(np.quantile(np.concatenate(ranks), recall, method="higher"))
+
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and correction term of each vector."""
         at = nearest(x, self.coarse)
@@ -79,10 +99,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 10, probes: float = PROBES, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 10, recall: float = RECALL, rerank: int = RERANK, sample: int = SAMPLE) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the ``k`` nearest found for each row that ``queries`` holds for.
 
-    ``vectors`` has vec_id and embedding.  Score is the Euclidean distance in double precision on the original
+    ``vectors`` has vec_id and embedding.  At most 1,024 lists are fitted, on about ``sample`` vectors.  Score is the Euclidean distance in double precision on the original
     vectors; ties go to the smaller vec_id; a query is not its own neighbour.  Vectors that are null, empty, zero or
     hold a null or non-finite component take no part, nor those of another than the most common length (the
     larger one on a tie), nor null ids.  Of rows that repeat a vec_id the smallest vector counts.
@@ -98,11 +118,13 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, probes: float = PRO
     dim, n = lengths["n"], lengths["count"]
     base = base.where(F.size("v") == dim)
     drawn = base.where(F.pmod(F.xxhash64(F.lit(9), "vec_id"), F.lit(1 << 20)) <= min(1.0, sample / n) * (1 << 20))
-    quantiser = Quantiser(_matrix(drawn.select("v").toArrow().column(0).combine_chunks(), dim), max(1, min(1024, round(n**0.5))))
+    found = drawn.select("vec_id", "v").toArrow().sort_by("vec_id").column("v").combine_chunks()
+    fitted = _matrix(found, dim)
+    quantiser = Quantiser(fitted, max(1, min(1024, round(n**0.5))))
+    probed = quantiser.probes(fitted[np.random.default_rng(3).permutation(len(fitted))], k, recall)
     shared = spark.sparkContext.broadcast(quantiser)  # at most 1024 x dim + 256 x dim numbers
     lists = len(quantiser.coarse)
     groups = max(1, -(-n // BLOCK))
-    probed = lists if n <= rerank else max(1, round(lists * probes))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,13 +143,15 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, probes: float = PRO
             q = _matrix(batch.column(1), dim)
             coarse = shared.value.coarse
             far = (q**2).sum(axis=1)[:, None] + (coarse**2).sum(axis=1)[None, :] - 2 * q @ coarse.T
-            near = np.argsort(far, axis=1, kind="stable")[:, :probed]
+            order = np.argsort(far, axis=1, kind="stable")
+            enough = (np.cumsum(held[order], axis=1) <= rerank).sum(axis=1) + 1  # the query itself is one of them
             rows, grp, mine, size = [], [], [], []
             for i in range(len(q)):
-                for g in np.unique(near[i] % groups):
+                near = order[i, : max(probed, enough[i])]
+                for g in np.unique(near % groups):
                     rows.append(i)
                     grp.append(g)
-                    mine.append(near[i][near[i] % groups == g])
+                    mine.append(near[near % groups == g])
                     size.append(len(mine[-1]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(grp, pa.int64()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), ragged(np.concatenate(mine), np.array(size), pa.int32())],
@@ -137,6 +161,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, probes: float = PRO
     asked = base.where(queries)
     members = base.mapInArrow(encode, "grp long, vec_id long, list int, codes binary, term double")
     members = steady(members)
+    held = np.zeros(lists, np.int64)  # at most 1,024 numbers
+    for r in members.groupBy("list").count().collect():
+        held[r["list"]] = r["count"]
     sizes = members.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     blocks = members.join(sizes, "grp").groupBy("grp", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part"))
     blocks = blocks.agg(*(F.collect_list(c).alias("m_" + c) for c in ("vec_id", "list", "codes", "term"))).drop("part")

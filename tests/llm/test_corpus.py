@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and on nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -173,6 +174,30 @@ def test_grammar():
     assert kinds("_ threat target") == ["threat_aimed_plain_direct"]
 
 
+def test_grammar_equals_its_definition_on_all_short_clauses():
+    """Every clause of up to five symbols, and random longer ones, against the definition of each mark."""
+    T = toxicity
+
+    def want(clause):
+        out = []
+        for i, x in enumerate(clause):
+            if x not in (T.INSULT, T.THREAT, T.LEARNED):
+                continue
+            reach = 0
+            for y in clause[:i]:
+                reach = T.REACH if y == T.NEGATOR else reach if y == T.INTENSIFIER else max(0, reach - 1)
+            aimed = T.TARGET in clause[max(0, i - T.NEAR) : i] or T.TARGET in clause[i + 1 : i + 1 + T.NEAR]
+            reported = T.REPORT in clause[:i] or T.REPORT in clause[i + 1 :]
+            what = {T.INSULT: "insult", T.THREAT: "threat", T.LEARNED: "learned"}[x]
+            out.append("_".join((what, "aimed" if aimed else "bare", "negated" if reach else "plain", "reported" if reported else "direct")))
+        return out
+
+    rng = random.Random(9)
+    clauses = [list(c) for n in range(6) for c in itertools.product(range(len(T.SYMBOLS)), repeat=n)]
+    clauses += [[rng.choice([0, 0, 0, *range(len(T.SYMBOLS))]) for _ in range(rng.randrange(6, 30))] for _ in range(3000)]
+    assert all([T.KINDS[k] for k in T.clause_matches(c)] == want(c) for c in clauses)
+
+
 def test_toxicity_learns_words_and_handles_odd_rows(spark, messy, empty):
     rng = random.Random(3)
     rows, labels = [], []

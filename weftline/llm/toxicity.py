@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words map to symbols: insult, threat, target, negator, reporting verb, intensifier, other.  Four small
-transducers read a clause's symbols: one marks insults and threats, one whether they stand in the scope of a
-negator, one whether the sentence reports somebody else's words, one whether a target is near.  They are composed into one
-machine whose outputs are kinds of match (insult or threat, aimed or bare, negated or not, reported or
-not).  A document's counts of each kind, not its words, are scored by weights learned from labelled rows.
+Words map to symbols: insult, threat, target, negator, reporting verb, intensifier, learned, other.  A clause's symbols pass
+through a cascade of small transducers, each reading what the one before it writes: the first marks what stands in the
+scope of a negator, the second what follows a reporting verb, the third what follows a target.  A second cascade reads the
+result from the right and adds reporting verbs and targets that come later, and its last member writes the production that
+matched: insult, threat or learned word, aimed or bare, negated or not, reported or not.  Both cascades are composed into one
+table each (a bimachine), so a clause is read twice whatever the grammar.  Every production has a weight, learned from
+labelled rows; the score is the logistic of the weighted productions of all clauses, not of words.  That a bare word
+counts at all is for the labels to say: its production has a weight of its own.
 """
 
 from __future__ import annotations
@@ -42,28 +45,44 @@ INSULT, THREAT, TARGET, NEGATOR, REPORT, INTENSIFIER, LEARNED = (_CODE[s] for s
 REACH, NEAR = 3, 4
 KINDS = [f"{what}_{aim}_{neg}_{rep}" for what, aim, neg, rep in product(("insult", "threat", "learned"), ("bare", "aimed"), ("plain", "negated"), ("direct", "reported"))]
 
-# A transducer is (states, step): step(state, symbol) gives the next state and an output for the symbol read.
-_MATCH = (1, lambda s, x: (0, {INSULT: 0, THREAT: 1, LEARNED: 2}.get(x)))
-_NEGATION = (REACH + 1, lambda s, x: (REACH if x == NEGATOR else s if x == INTENSIFIER else max(0, s - 1), int(s > 0)))
-_REPORTED = (2, lambda s, x: (1 if x == REPORT else s, s))
-_AIMED = (NEAR + 1, lambda s, x: (NEAR if x == TARGET else max(0, s - 1), int(s > 0)))
+# A transducer is (states, step): step(state, symbol) gives the next state and the symbol written.  Symbols grow by a mark
+# from member to member: (word,), (word, negated), (word, negated, reported), (word, negated, reported, aimed).
+_NEGATION = (REACH + 1, lambda s, x: (REACH if x[0] == NEGATOR else s if x[0] == INTENSIFIER else max(0, s - 1), (*x, s > 0)))
+_REPORTED = (2, lambda s, x: (1 if x[0] == REPORT else s, (*x, s > 0)))
+_AIMED = (NEAR + 1, lambda s, x: (NEAR if x[0] == TARGET else max(0, s - 1), (*x, s > 0)))
+_REPORTED_LATER = (2, lambda s, x: (1 if x[0] == REPORT else s, (x[0], x[1], x[2] or s > 0, x[3])))
+_AIMED_LATER = (NEAR + 1, lambda s, x: (NEAR if x[0] == TARGET else max(0, s - 1), (*x[:3], x[3] or s > 0)))
+_WHAT = {INSULT: 0, THREAT: 1, LEARNED: 2}
+_PRODUCTION = (1, lambda s, x: (0, _WHAT[x[0]] * 8 + x[3] * 4 + x[1] * 2 + x[2] if x[0] in _WHAT else None))
 
 
-def compose(*parts):
-    """One machine that runs all parts side by side: tables of next states and of output tuples by (state, symbol)."""
-    sizes = [n for n, _ in parts]
-    states = {s: i for i, s in enumerate(product(*(range(n) for n in sizes)))}
-    to = np.zeros((len(states), len(SYMBOLS)), np.int64)
-    out: list[list[tuple]] = [[()] * len(SYMBOLS) for _ in states]
-    for s, i in states.items():
-        for x in range(len(SYMBOLS)):
-            steps = [step(part, x) for part, (_, step) in zip(s, parts, strict=True)]
-            to[i, x] = states[tuple(a for a, _ in steps)]
-            out[i][x] = tuple(b for _, b in steps)
-    return to, out
+def compose(first, second):
+    """One transducer that does what ``second`` does with what ``first`` writes; its states are pairs."""
+    (n, f), (m, g) = first, second
 
+    def step(state, x):
+        a, y = f(state // m, x)
+        b, z = g(state % m, y)
+        return a * m + b, z
 
-_TO, _OUT = compose(_MATCH, _AIMED, _NEGATION, _REPORTED)
+    return n * m, step
+
+
+def table(transducer, symbols: list) -> tuple[np.ndarray, np.ndarray, list]:
+    """Next states and written symbols by (state, number of the symbol read), and the written symbols by number."""
+    n, step = transducer
+    written: dict = {}
+    to, out = np.zeros((n, len(symbols)), np.int64), np.zeros((n, len(symbols)), np.int64)
+    for s in range(n):
+        for i, x in enumerate(symbols):
+            to[s, i], y = step(s, x)
+            out[s, i] = written.setdefault(y, len(written))
+    return to, out, list(written)
+
+
+_TO, _OUT, _MARKED = table(compose(compose(_NEGATION, _REPORTED), _AIMED), [(x,) for x in range(len(SYMBOLS))])
+_BACK_TO, _BACK_OUT, _WRITTEN = table(compose(compose(_REPORTED_LATER, _AIMED_LATER), _PRODUCTION), _MARKED)
+_TO, _OUT, _BACK_TO, _BACK_OUT = (t.tolist() for t in (_TO, _OUT, _BACK_TO, _BACK_OUT))
 
 _BYTE = stream(505, 256)
 _WORD = np.zeros(256, bool)
@@ -114,18 +133,18 @@ def letter_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def clause_matches(symbols: list[int]) -> list[int]:
-    """Kinds of the matches in one clause, by a run of the composed machine.
-
-    A target counts on either side of the insult or threat.
-    """
+    """Numbers of the productions (of ``KINDS``) that match in one clause, in order: both passes of the bimachine."""
+    marked, state = [], 0
+    for x in symbols:
+        marked.append(_OUT[state][x])
+        state = _TO[state][x]
     found, state = [], 0
-    for i, x in enumerate(symbols):
-        what, aim, neg, rep = _OUT[state][x]
-        state = int(_TO[state, x])
-        if what is not None:
-            aim = aim or TARGET in symbols[i + 1 : i + 1 + NEAR]
-            found.append(what * 8 + int(aim) * 4 + neg * 2 + rep)
-    return found
+    for y in reversed(marked):
+        kind = _WRITTEN[_BACK_OUT[state][y]]
+        state = _BACK_TO[state][y]
+        if kind is not None:
+            found.append(kind)
+    return found[::-1]
 
 
 def match_counts(chunk: Chunk, lexicon: Lexicon) -> np.ndarray:
@@ -156,7 +175,7 @@ def match_table(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts have none.  Only doc_id and text are read.
     """
     small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # the fixed words and at most LEARNED_WORDS more
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)  # the fixed words and those learned from a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,9 +186,8 @@ def match_table(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, matches array<int>")
 
 
-#: labelled rows that words and weights are learned from, and words learned at most
+#: labelled rows that words and weights are learned from
 SAMPLE = 30_000
-LEARNED_WORDS = 5000
 #: what a learned word must show: toxic documents in distinct contexts, their share, log-likelihood above chance
 MIN_CONTEXTS, MIN_SHARE, MIN_EVIDENCE = 4, 0.5, 12.0
 #: weights where there is nothing to learn from: bias, then one for each kind
@@ -195,7 +213,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned_words(train: DataFrame) -> np.ndarray:
-    """Hashes of words that mark toxic rows of ``train`` (text, toxic), the strongest LEARNED_WORDS at most."""
+    """Hashes of all words that mark toxic rows of ``train`` (text, toxic), which is a bounded sample."""
     sizes = {bool(r[0]): r[1] for r in train.groupBy(F.col("toxic") > 0).count().collect()}
     if len(sizes) < 2:
         return np.zeros(0, U64)
@@ -206,7 +224,7 @@ def learned_words(train: DataFrame) -> np.ndarray:
     n = F.col("p") + F.col("q")
     evidence = F.col("p") * F.log(F.col("p") / (n * base)) + F.when(F.col("q") > 0, F.col("q") * F.log(F.col("q") / (n * (1 - base)))).otherwise(0.0)
     found = found.where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("p") >= MIN_SHARE * n)).withColumn("e", evidence).where(F.col("e") >= MIN_EVIDENCE)
-    rows = found.orderBy(F.desc("e"), "word").limit(LEARNED_WORDS).select("word").collect()
+    rows = found.select("word").collect()
     return np.array([r[0] for r in rows], np.int64).view(U64)
 
 

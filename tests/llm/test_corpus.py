@@ -586,7 +586,7 @@ def test_passages_equal_brute_force(messy, empty):
         assert r.b - r.a >= 50
         got[r.doc_id].update(range(r.a, r.b))
     for i, cover in want.items():
-        assert i in got and len(cover - got[i]) <= 0.02 * len(cover)
+        assert i in got and cover <= got[i]
     alone = {i for i in got if i not in want}  # repeats within one text
     assert alone <= {next(r[0] for r in corpus() if r[1] and r[1].startswith("the same word"))}
     assert suffixes.passages(empty).count() == 0
@@ -611,7 +611,7 @@ def test_many_suffixes_in_one_group(spark):
     passage = " ".join(prose(rng, 60))
     rows = [(i, f"{' '.join(prose(rng, 10))} {passage} {' '.join(prose(rng, 10))}") for i in range(300)]
     got = suffixes.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()
-    assert len(got) == 300 and sum(bool(r.removed) for r in got) >= 290
+    assert len(got) == 300 and sum(bool(r.removed) for r in got) == 299
 
 
 def test_every_repeated_window_and_its_first_occurrence(spark):

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.rows import U64, Chunk, chars_before, mix, small_batches, span_hashes, text_chunks, word_hashes, words
+from weftline.llm.rows import U64, Chunk, chars_before, dealt_join, mix, small_batches, span_hashes, steady, text_chunks, word_hashes, words
 
 MIN_LINE_WORDS = 5
 MIN_SENTENCE_WORDS = 10
@@ -74,9 +74,9 @@ def repeated_units(docs: DataFrame, min_line_words: int = MIN_LINE_WORDS, min_se
     small_batches(docs.sparkSession)
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = base.mapInArrow(_units(min_line_words, min_sentence_words), _UNIT)
-    first = units.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max(F.struct("doc_id", "at")).alias("l"))
-    first = first.where("f < l").select("d1", "d2", "f")
-    again = units.join(first, ["d1", "d2"]).where("struct(doc_id, at) > f")
+    first = units.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max(F.struct("doc_id", "at")).alias("l"), F.count("*").alias("n"))
+    first = steady(first.where("f < l").select("d1", "d2", "f", "n"))
+    again = dealt_join(units, first.drop("n"), ["d1", "d2"], "doc_id", hubs=first).where("struct(doc_id, at) > f")
     found = again.select("doc_id", "at", "end", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at"))
     return found
 

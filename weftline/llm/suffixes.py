@@ -3,7 +3,8 @@
 Only suffixes that begin at minimiser positions are kept: a word position is a minimiser when the hash of
 its ``SEED`` next words is the least of some ``SPAN`` consecutive ones.  Equal passages choose equal positions,
 and any passage of SPAN + SEED - 1 words holds at least one.  A suffix is represented by the hashes of
-its next four blocks of ``BLOCK`` words, which order suffixes as a suffix array over blocks does.  Suffixes
+its next four blocks of ``BLOCK`` words, which order suffixes as a suffix array over blocks does (beyond 64 words by document;
+what is found does not depend on that order, see below).  Suffixes
 are range-partitioned and sorted by these blocks; neighbours with an equal first block are compared on the
 documents' words and extended to the left and right as far as they agree.  Matches of ``min_words`` words count.
 
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from weftline.llm.rows import (
     U64,
     chars_before,
+    dealt_join,
     mix,
     of_ids,
     small_batches,
@@ -211,8 +213,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, a, b, again): word spans that occur elsewhere too, at least ``min_words`` long.
 
     ``again`` says that the other occurrence comes first by (doc_id, position).  Words are compared with A-Z
-    lower-cased, runs of white space do not matter.  Null ids and texts and shorter texts have none; of
-    rows that repeat a doc_id the largest text is read.  Only doc_id and text are read.
+    lower-cased, runs of white space do not matter.  Occurrences within one text count where they do not overlap.  Null ids
+    and texts and shorter texts have none; of rows that repeat a doc_id the largest text is read.  Only doc_id and text are
+    read; an empty table gives an empty result.
     """
     _check(min_words)
     return _repeats(_base(docs), min_words)
@@ -267,9 +270,9 @@ def _repeats(base: DataFrame, min_words: int) -> DataFrame:
     around = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("at")).join(covered, "doc_id", "left")
     looked = around.join(texts, "doc_id").select("doc_id", "at", "spans", "words").mapInArrow(_windows_around(min_words), "h long, doc_id long, a int, known boolean")
     # the largest position of a text that repeats itself must lie clear of the first, as in matches
-    twice = looked.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l"))
-    twice = twice.where(f"f.doc_id < l.doc_id or f.a + {min_words} <= l.a").drop("l")
-    more = looked.join(twice, "h").select("doc_id", "a", (F.col("a") + min_words).alias("b"), F.expr(f"f.doc_id < doc_id or f.a + {min_words} <= a").alias("again"), "known")
+    twice = looked.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l"), F.count("*").alias("n"))
+    twice = steady(twice.where(f"f.doc_id < l.doc_id or f.a + {min_words} <= l.a").drop("l"))
+    more = dealt_join(looked, twice.drop("n"), ["h"], "doc_id", hubs=twice).select("doc_id", "a", (F.col("a") + min_words).alias("b"), F.expr(f"f.doc_id < doc_id or f.a + {min_words} <= a").alias("again"), "known")
     return matched.unionAll(more.where("again or not known").drop("known"))
 
 
@@ -305,7 +308,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """Rows (doc_id, repeated, removed), one for each document with a repeated passage.
 
     Both are merged character spans [at, end): the passages that occur elsewhere, and those of them with an
-    earlier occurrence, which deduplication removes.
+    earlier occurrence, which deduplication removes.  Nulls, short texts, repeated rows and empty tables as in ``repeats``.
     """
     _check(min_words)
     base = _base(docs)

@@ -32,7 +32,7 @@ SEED = 20260101
 _BYTE = stream(11, 256)
 _STEP = stream(404, 8) | U64(1)
 _PROBE = 20
-_CHUNK = 3 << 19
+_CHUNK = 1 << 19
 #: log-probability of a prefix after which a path's siblings are drawn as one (and dealt out if ever that one is
 #: popped), and steps looked at first
 _FAR, _AHEAD = -80.0, 256
@@ -154,9 +154,10 @@ class Lattice:
             fan[a] += 1
         self.begin = np.concatenate([[0], np.cumsum(fan)])
         place = self.begin[:-1].copy()
-        self.source, self.target = np.repeat(np.arange(slots), fan), np.empty(int(self.begin[-1]), np.int64)
+        self.source, self.target = np.repeat(np.arange(slots, dtype=np.int32), fan), np.empty(int(self.begin[-1]), np.int32)
         self.id, score = np.empty(len(self.target), np.int32), np.empty(len(self.target))
-        for a, b, i, v in zip(froms, tos, ids, scores, strict=True):
+        while froms:  # what has been placed is let go
+            a, b, i, v = (x.pop() for x in (froms, tos, ids, scores))
             at = place[a]
             self.target[at], self.id[at], score[at] = b, i, v
             place[a] += 1
@@ -168,10 +169,11 @@ class Lattice:
         end_of[self.last] = self.last
         beta = np.full(slots, -np.inf)
         beta[self.last] = 0.0
-        away = (end_of - np.arange(slots))[self.source]
-        turn = np.argsort(away.astype(np.uint16) if lens.max() < 1 << 16 else away, kind="stable")
+        away = (end_of - np.arange(slots)).astype(np.uint16 if lens.max() < 1 << 16 else np.int64)[self.source]
+        turn = np.argsort(away, kind="stable").astype(np.int32)
         far = away[turn]
-        levels = np.flatnonzero(np.diff(far, prepend=-1))
+        del away
+        levels = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]]))
         for a, b in zip(levels.tolist(), [*levels[1:].tolist(), len(far)], strict=True):
             e = turn[a:b]
             v = score[e] + beta[self.target[e]]
@@ -181,12 +183,14 @@ class Lattice:
             top = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
                 beta[s[new]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(new, len(s))))), new))
+        del turn, far
         with np.errstate(invalid="ignore"):
-            share = score + beta[self.target] - beta[self.source]
-        self.log_share = np.where(np.isnan(share), -np.inf, share)
-        total = np.cumsum(np.exp(self.log_share))
-        base = np.where(self.begin[:-1] > 0, total[self.begin[:-1] - 1], 0.0)
-        self.upto = total - base[self.source]
+            score += beta[self.target]
+            score -= beta[self.source]
+        score[np.isnan(score)] = -np.inf
+        self.log_share = score
+        self.upto = np.cumsum(np.exp(score))
+        self.upto -= np.where(self.begin[:-1] > 0, self.upto[self.begin[:-1] - 1], 0.0)[self.source]
         final = np.flatnonzero(np.diff(self.source, append=-1))
         self.upto[final] = np.inf
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.rows import Chunk, ragged, small_batches, text_chunks
+from weftline.llm.rows import Chunk, give_back, ragged, small_batches, text_chunks
 
 DIMS = 8192
 #: training documents that the centroids are fitted on, all languages together
@@ -94,8 +94,10 @@ def has_letters(chunk: Chunk) -> np.ndarray:
 
 
 def unit_vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(tf) * idf
-    return v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-12)
+    v = np.log1p(tf)
+    v *= idf
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+    return v
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +132,7 @@ def clusters(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
     centres = x[chosen]
     for _ in range(rounds):
         member = np.argmax(x @ centres.T, axis=1)
-        sums = np.array([x[member == j].sum(axis=0) if (member == j).any() else centres[j] for j in range(len(centres))])
+        sums = np.array([(member == j).astype(x.dtype) @ x if (member == j).any() else centres[j] for j in range(len(centres))])
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centres.astype(np.float32)
 
@@ -188,14 +190,18 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, lang
         tf = np.zeros((len(at), DIMS), np.float32)
         for j, i in enumerate(at):
             tf[j, rows.column("features")[i].values.to_numpy()] = rows.column("tf")[i].values.to_numpy()
-        x = unit_vectors(tf, idf)
-        x = x[(tf > 0).any(axis=1)]
-        if not len(x):
+        tf = tf[tf.any(axis=1)]
+        if not len(tf):
             continue
+        x = unit_vectors(tf, idf)
+        del tf
         found = clusters(x, centroids)
         least[name] = float(0.5 * np.quantile((x @ found.T).max(axis=1), 0.005))
         centres.append(found)
         langs += [name] * len(found)
+        del x
+    del rows
+    give_back()
     return Model(idf, np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), langs, least)
 
 

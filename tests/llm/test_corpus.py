@@ -151,6 +151,15 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_components_joined_by_further_links(spark):
+    rng = random.Random(6)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(150)]
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(120)]
+    frame = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    first = graph.components(frame(edges))
+    assert sorted(graph.joined(first, frame(more)).collect()) == sorted(graph.components(frame(edges + more)).collect())
+
+
 def test_components_of_a_long_path_and_a_hub(spark, monkeypatch):
     monkeypatch.setattr(R, "HOT", 5)
     ids = random.Random(5).sample(range(1000), 300)

@@ -30,9 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     before, state = None, _state(now)
+    parts = max(1, -(-state[0] // PART))  # the edges never grow in number
     while state != before:
-        parts = max(1, -(-state[0] // PART))  # the edges never grow in number
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = steady(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")).coalesce(parts))
         hung = dealt_join(both.where("v > u"), least.select("u", "m"), ["u"], "v", hubs=least).coalesce(parts)
         large = hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(parts)
@@ -40,9 +40,21 @@ def components(edges: DataFrame) -> DataFrame:
         now = steady(
             small.select("u", F.col("m").alias("v"))
             .unionAll(small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")))
+            .coalesce(parts)
             .distinct()
             .coalesce(parts)
         )
         before, state = state, _state(now)
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionAll(now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root")))
+
+
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows (node, root) of ``components`` after further ``links`` (u, v): only the roots that they tie together are gone through again."""
+    at = {c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c)) for c in "uv"}
+    tied = links.join(at["u"], "u", "left").join(at["v"], "v", "left")
+    over = steady(components(tied.select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))))
+    moved = over.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = dealt_join(roots, moved, ["root"], "node", "left").select("node", F.coalesce("to", "root").alias("root"))
+    fresh = over.join(roots, "node", "left_anti").select("node", "root")
+    return old.unionAll(fresh)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.graph import components
+from weftline.llm.graph import components, joined
 from weftline.llm.rows import (
     U64,
     blobs,
@@ -285,8 +285,9 @@ def near_duplicates(
     packed = steady(packed.withColumn("block", F.col("block") + F.when(F.col("rest"), 1 << 40).otherwise(0)))
     sides = [packed.select("band", "nth", *(F.col(c).alias(f"{p}_{c}") for c in ("rest", "block", "ids", "roots", "sigs", "sizes", "sets"))) for p in ("x", "y")]
     facing = dealt_join(sides[0], sides[1], ["band", "nth"], "x_block", hot=4).where("x_rest and (not y_rest or x_block <= y_block)")
-    links = links.unionAll(steady(facing.mapInArrow(_cross(k, rows, least, percent), "u long, v long")))
-    roots = components(links)
+    more = steady(facing.mapInArrow(_cross(k, rows, least, percent), "u long, v long"))
+    if not more.isEmpty():
+        roots = joined(roots, more)
 
     classes = reps.join(roots, reps["id"] == roots["node"], "left").select("n_shingles", "d1", "d2", F.coalesce("root", "id").alias("root"))
     placed = dealt_join(signed.drop("sig"), classes, ["n_shingles", "d1", "d2"], "doc_id", "left")

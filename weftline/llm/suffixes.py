@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from weftline.llm.rows import (
     U64,
     chars_before,
-    dealt_join,
     mix,
     of_ids,
     small_batches,
@@ -270,9 +269,10 @@ def _repeats(base: DataFrame, min_words: int) -> DataFrame:
     around = shared.groupBy("doc_id").agg(F.collect_set("pos").alias("at")).join(covered, "doc_id", "left")
     looked = around.join(texts, "doc_id").select("doc_id", "at", "spans", "words").mapInArrow(_windows_around(min_words), "h long, doc_id long, a int, known boolean")
     # the largest position of a text that repeats itself must lie clear of the first, as in matches
-    twice = looked.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l"), F.count("*").alias("n"))
-    twice = steady(twice.where(f"f.doc_id < l.doc_id or f.a + {min_words} <= l.a").drop("l"))
-    more = dealt_join(looked, twice.drop("n"), ["h"], "doc_id", hubs=twice).select("doc_id", "a", (F.col("a") + min_words).alias("b"), F.expr(f"f.doc_id < doc_id or f.a + {min_words} <= a").alias("again"), "known")
+    twice = looked.groupBy("h").agg(F.min(F.struct("doc_id", "a")).alias("f"), F.max(F.struct("doc_id", "a")).alias("l"))
+    twice = twice.where(f"f.doc_id < l.doc_id or f.a + {min_words} <= l.a").drop("l")
+    # in one job, so that what lies under both sides is shuffled once; a hot window is left to the adaptive skew join
+    more = looked.join(twice, "h").select("doc_id", "a", (F.col("a") + min_words).alias("b"), F.expr(f"f.doc_id < doc_id or f.a + {min_words} <= a").alias("again"), "known")
     return matched.unionAll(more.where("again or not known").drop("known"))
 
 

@@ -185,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     small_batches(docs.sparkSession)
     known = steady(labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("quality") > 0).cast("double")).alias("y")))
     base = _base(docs).where("doc_id is not null")
-    text, meta, y = _features(_drawn(base, n := known.count(), labelled, 5).join(_drawn(known, n, labelled, 5), "doc_id"))
+    some = steady(_drawn(known, known.count(), labelled, 5))  # about ``labelled`` rows at most
+    text, meta, y = _features(base.join(F.broadcast(some), "doc_id"))
     if not len(y):
         return Model([np.zeros(_TEXT + 1), np.zeros(_META + 1)], [(1.0, 0.0)] * 2, 0.0, [])
     views, ridges = (text, meta), (1e-5, 1e-4)
@@ -196,9 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
     good = float(np.clip(y[own].mean(), 0.01, 0.99))
     weights = [logistic(views[v][own], y[own], ridges[v]) for v in (0, 1)]
     taken = []
-    rest = base.join(known, "doc_id", "left_anti")
     for turn in range(rounds if len(np.unique(y[own])) > 1 else 0):
-        scored = steady(_scored(rest, weights))
+        scored = steady(_scored(base, weights).join(known, "doc_id", "left_anti"))  # scores are shuffled, not texts
         counts = []
         for told in (1, 0):  # the view that learns; the other one labels
             view = ("text", "meta")[1 - told]
@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, rounds: in
             sure = sure.groupBy("doc_id").agg(F.max("y").alias("y"))
             counts.append(sure.count())
             some = steady(_drawn(sure, counts[-1], labelled, 11 + turn))  # about ``labelled`` ids at most
-            extra = _features(rest.join(F.broadcast(some), "doc_id"))
+            extra = _features(base.join(F.broadcast(some), "doc_id"))
             x = np.concatenate([views[told][own], extra[told]])
             weights[told] = logistic(x, np.concatenate([y[own], extra[2]]), ridges[told], weights[told], 60)
         taken.append(tuple(counts))

@@ -154,7 +154,7 @@ class Lattice:
             fan[a] += 1
         self.begin = np.concatenate([[0], np.cumsum(fan)])
         place = self.begin[:-1].copy()
-        self.source, self.target = np.repeat(np.arange(slots, dtype=np.int32), fan), np.empty(int(self.begin[-1]), np.int32)
+        self.source, self.target = np.repeat(np.arange(slots), fan), np.empty(int(self.begin[-1]), np.int64)
         self.id, score = np.empty(len(self.target), np.int32), np.empty(len(self.target))
         while froms:  # what has been placed is let go
             a, b, i, v = (x.pop() for x in (froms, tos, ids, scores))
@@ -170,7 +170,7 @@ class Lattice:
         beta = np.full(slots, -np.inf)
         beta[self.last] = 0.0
         away = (end_of - np.arange(slots)).astype(np.uint16 if lens.max() < 1 << 16 else np.int64)[self.source]
-        turn = np.argsort(away, kind="stable").astype(np.int32)
+        turn = np.argsort(away, kind="stable")
         far = away[turn]
         del away
         levels = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]]))

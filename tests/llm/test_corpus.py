@@ -407,6 +407,57 @@ def test_pieces_of_several_blanks_and_across_blanks():
     assert any(voc.decode([0, i]).isspace() and voc.piece_len[i] > 1 for s in found for i in s[0].tolist())
 
 
+def chunk_samples(voc, texts, k=3, **more):
+    data = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *map(len, data)])
+    found = lattice.sample_chunk(voc, np.frombuffer(b"".join(data), np.uint8), bounds, np.arange(5, 5 + len(data), dtype=np.uint64), k, **more)
+    return [[(s[0].tolist(), *s[1:]) for s in t] for t in found]
+
+
+def test_what_has_been_built_is_not_built_again(monkeypatch):
+    """Chunks after one another look up only rests of units that are new, and their samples are the same to the last bit."""
+    voc = lattice.Vocabulary.load(queries.PIECES)
+    looked, find = [], lattice.Vocabulary.find
+    monkeypatch.setattr(lattice.Vocabulary, "find", lambda self, keys: looked.append(len(keys)) or find(self, keys))
+    rng = random.Random(4)
+    texts = [" ".join(prose(rng, 200)) + " öß 日本\n語 \U0001f600  x" for _ in range(4)]
+    want = chunk_samples(voc, texts)
+    alone = sum(looked)
+    looked.clear()
+    known = lattice.Lattice(voc)
+    assert chunk_samples(voc, texts, lattice=known) == want and sum(looked) == alone
+    looked.clear()
+    assert chunk_samples(voc, texts, lattice=known) == want and sum(looked) == 0
+    ends = ["singing", "bringing", "clinging"]  # rests that units share are built once
+    looked.clear()
+    chunk_samples(voc, [" ".join(ends)])
+    together = sum(looked)
+    looked.clear()
+    for e in ends:
+        chunk_samples(voc, [e])
+    assert together < 0.8 * sum(looked)
+
+
+def test_samples_do_not_depend_on_what_is_kept(monkeypatch):
+    """Kept rests are let go beyond a bound; neither that nor the size of what is built at once changes a bit."""
+    voc = lattice.Vocabulary.load(queries.PIECES)
+    rng = random.Random(9)
+    chunks = [[" ".join(prose(rng, 150)) for _ in range(3)] + ["é" * 50, "", "\U0001f600" * 9] for _ in range(4)]
+    known = lattice.Lattice(voc)
+    want = [chunk_samples(voc, c, lattice=known) for c in chunks]
+    for bound, build, table in ((0, 1 << 17, 17), (1 << 20, 1, 2), (2000, 64, 1)):
+        monkeypatch.setattr(lattice, "_KNOWN", bound)
+        monkeypatch.setattr(lattice, "_BUILD", build)
+        monkeypatch.setattr(lattice, "_TABLE", table)
+        known = lattice.Lattice(voc)
+        for c, w in zip(chunks, want, strict=True):
+            assert chunk_samples(voc, c, lattice=known) == w
+            if not bound:
+                one = lattice.Lattice(voc)
+                chunk_samples(voc, c, lattice=one)
+                assert len(known.id) == len(one.id)
+
+
 def test_inclusion_scores_make_unbiased_sums(tiny):
     voc, pieces, p = tiny
     want = paths(b" abab", pieces, p)

@@ -10,14 +10,15 @@ paths that leave it at each step form sibling nodes with Gumbel values truncated
 search pops nodes by value, which is an exact bound, so the first k leaves are the sample.
 
 Where no piece crosses from other text into a blank, the lattice factors into units of blanks and the text after
-them; backward sums are made once for each distinct unit of a chunk.  A vocabulary with other pieces is sampled
-over whole texts.  Characters that no piece covers fall back to byte pieces.  Scores of a merge-ranked (BPE) vocabulary are read as a Zipf law over its ranks.
+them; backward sums are made once for each distinct rest of a unit that a task meets, which begins anew when those kept grow
+beyond a bound.  A vocabulary with other pieces is sampled over whole texts.  Characters that no piece covers fall back to byte pieces.  Scores of a merge-ranked (BPE) vocabulary are read as a Zipf law over its ranks.
 
 Randomness is a hash of (seed, row key, sample, unit, step): a row's samples don't depend on partitioning.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.rows import U64, mix, powers, ragged, small_batches, span_hashes, stream, text_chunks
+from weftline.llm.rows import U64, give_back, mix, powers, ragged, small_batches, span_hashes, stream, text_chunks
 
 SAMPLES = 2
 SEED = 20260101
 _BYTE = stream(11, 256)
 _STEP = stream(404, 8) | U64(1)
 _PROBE = 20
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
+#: edges beyond which the rests met so far are let go before the next chunk, and bytes of new units that are built at once
+_KNOWN, _BUILD = 1 << 19, 1 << 17
+#: bits of the places in a new table of rests, of which half may be taken
+_TABLE = 17
 #: log-probability of a prefix after which a path's siblings are drawn as one (and dealt out if ever that one is
 #: popped), and steps looked at first
 _FAR, _AHEAD = -80.0, 256
@@ -109,94 +114,207 @@ class Vocabulary:
 
 
 class Lattice:
-    """Edges of the distinct units that ``starts``/``ends`` mark in ``data``, grouped by the slot they leave.
+    """The pieces that can follow at each place of the texts met so far, place by place.
 
-    A unit of n bytes has n + 1 slots; ``first[u]`` is its first one, ``last[u]`` its end.
+    What can follow depends on nothing but the rest of the unit, so there is one node for each distinct rest, whatever units
+    end in it, and it is not built again for later texts.  Node 0 is a unit's end.  ``begin`` has the first edge of each node,
+    ``left`` the bytes of its rest and ``lead`` the next four of them.  All are let go before a chunk when there are more than ``_KNOWN`` edges.
     """
 
-    def __init__(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self._clear()
+
+    def _clear(self) -> None:
+        self._room: dict[str, np.ndarray] = {}
+        self._keys, self._nodes = np.zeros(1 << _TABLE, U64), np.full(1 << _TABLE, -1, np.int32)
+        self._put("begin", 0, np.zeros(2, np.int64))
+        self._put("left", 0, np.zeros(1, np.int32))
+        self._put("lead", 0, np.zeros((1, 4), np.uint8))
+        self._put("beta", 0, np.zeros(1))
+        for name, kind in (("target", np.int32), ("id", np.int32), ("log_share", float), ("log_rest", float), ("upto", float)):
+            self._put(name, 0, np.zeros(0, kind))
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Let the array ``name`` go on with ``values`` from ``at`` on."""
+        room, size = self._room.get(name), at + len(values)
+        if room is None or len(room) < size:
+            more = np.empty((size + size // 4, *values.shape[1:]), values.dtype)
+            if room is not None:
+                more[:at] = room[:at]
+            self._room[name] = room = more
+        room[at:size] = values
+        setattr(self, name, room[:size])
+
+    def units(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The node at which each unit that ``starts``/``ends`` mark in ``text`` begins."""
+        if len(self.id) > _KNOWN:
+            self._clear()
+        keys = span_hashes(_BYTE[text], starts, ends)
+        found = self._known(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            _, at = np.unique(keys[new], return_index=True)
+            a, b = starts[new[at]], ends[new[at]]
+            upto = np.cumsum(b - a)
+            cuts = np.flatnonzero(np.diff(upto // _BUILD, prepend=0)).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(a)], strict=True):
+                if i < j:
+                    self._build(text, a[i:j], b[i:j])
+            found[new] = self._known(keys[new])
+        return found
+
+    def _known(self, keys: np.ndarray) -> np.ndarray:
+        """The nodes of the rests with these hashes, -1 for those not built."""
+        at = self._home(keys)
+        node = self._nodes[at]
+        off = np.flatnonzero((node >= 0) & (self._keys[at] != keys))
+        while len(off):
+            at[off] = (at[off] + 1) & (len(self._nodes) - 1)
+            node[off] = self._nodes[at[off]]
+            off = off[(node[off] >= 0) & (self._keys[at[off]] != keys[off])]
+        return node.astype(np.int64)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> U64(65 - len(self._nodes).bit_length())).astype(np.int64)
+
+    def _enter(self, keys: np.ndarray, nodes: np.ndarray) -> None:
+        """Put distinct new hashes into the table."""
+        total = len(self.left) + len(keys)
+        if 2 * total > len(self._nodes):
+            taken = np.flatnonzero(self._nodes >= 0)
+            keys, nodes = np.concatenate([self._keys[taken], keys]), np.concatenate([self._nodes[taken], nodes])
+            size = 1 << (2 * total).bit_length()
+            self._keys, self._nodes = np.zeros(size, U64), np.full(size, -1, np.int32)
+        at = self._home(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            open_ = todo[self._nodes[at[todo]] < 0]
+            self._nodes[at[open_]] = nodes[open_]  # of several one stays
+            todo = todo[self._nodes[at[todo]] != nodes[todo]]
+            at[todo] = (at[todo] + 1) & (len(self._nodes) - 1)
+        self._keys[at] = keys
+
+    def _build(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        vocabulary = self.vocabulary
         lens = ends - starts
-        self.first = np.cumsum(lens + 1) - (lens + 1)
-        self.last = self.first + lens
-        slots = int(self.last[-1]) + 1
+        # a unit of n bytes has n + 1 slots, the last one its end
+        first = np.cumsum(lens + 1) - (lens + 1)
         unit = np.repeat(np.arange(len(lens)), lens)
         within = np.arange(len(unit)) - np.repeat(np.cumsum(lens) - lens, lens)
-        text = data[np.repeat(starts, lens) + within]
-        slot = self.first[unit] + within
-        left = lens[unit] - within
-        head = (text & 0xC0) != 0x80
-        width = np.where(text < 0x80, 1, np.where(text < 0xE0, 2, np.where(text < 0xF0, 3, 4)))
+        text = data[starts[unit] + within]
         total = np.zeros(len(text) + 1, U64)
         np.cumsum(_BYTE[text] * powers("up", len(text) + 1)[: len(text)], out=total[1:])
         down = powers("down", len(text) + 1)
-        at = np.flatnonzero(head)
-        single = np.zeros(len(text), bool)
+
+        def hashes(at: np.ndarray, n: np.ndarray | int) -> np.ndarray:  # span_hashes over one running sum
+            return mix((total[at + n] - total[at]) * down[at] + (n.astype(U64) if isinstance(n, np.ndarray) else U64(n)))
+
+        heads = np.flatnonzero((text & 0xC0) != 0x80)
+        left = lens[unit[heads]] - within[heads]
+        keys = hashes(heads, left)
+        node = self._known(keys)
+        new = np.flatnonzero(node < 0)
+        if not len(new):
+            return
+        _, at, rest = np.unique(keys[new], return_index=True, return_inverse=True)
+        size = left[new[at]]
+        order = np.argsort(size.astype(np.uint16) if lens.max() < 1 << 16 else size, kind="stable")
+        base, edges = len(self.left), len(self.id)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = base + np.arange(len(order))
+        node[new] = rank[rest]
+        at_slot = np.zeros(len(text) + len(lens), np.int64)
+        slot = first[unit] + within
+        at_slot[slot[heads]] = node
+        new = new[at[order]]
+        self._enter(keys[new], node[new])
+
+        # the new nodes' places in the text, shortest rest first, so that edges lead to nodes further up
+        left, heads = left[new], heads[new]
+        head = text[heads]
+        width = np.where(head < 0x80, 1, np.where(head < 0xE0, 2, np.where(head < 0xF0, 3, 4)))
+        single = np.zeros(len(new), bool)
         froms, tos, ids, scores = [], [], [], []
         for n in vocabulary.lengths.tolist():
-            at = at[left[at] >= n]
-            if not len(at):
+            a = int(np.searchsorted(left, n))
+            if a == len(left):
                 break
-            keys = mix((total[at + n] - total[at]) * down[at] + U64(n))  # span_hashes over one running sum
-            maybe, where = vocabulary.find(keys)
-            hit = at[maybe]
+            maybe, where = vocabulary.find(hashes(heads[a:], n))
+            hit = maybe + a
             single[hit[width[hit] == n]] = True
-            froms.append(slot[hit])
-            tos.append(slot[hit] + n)
+            froms.append(hit)
+            tos.append(at_slot[slot[heads[hit]] + n])
             ids.append(vocabulary.ids[where])
             scores.append(vocabulary.logp[where])
-        bare = np.flatnonzero(head & ~single)
-        froms.append(slot[bare])
-        tos.append(slot[bare] + width[bare])
+        bare = np.flatnonzero(~single)
+        froms.append(bare)
+        tos.append(at_slot[slot[heads[bare]] + width[bare]])
         ids.append(np.full(len(bare), -1, np.int32))
         scores.append(vocabulary.fallback * width[bare])
-        fan = np.zeros(slots, np.int64)
-        for a in froms:  # no slot twice: it has one edge of each length at most
+        fan = np.zeros(len(new), np.int64)
+        for a in froms:  # no node twice: it has one edge of each length at most
             fan[a] += 1
-        self.begin = np.concatenate([[0], np.cumsum(fan)])
-        place = self.begin[:-1].copy()
-        self.source, self.target = np.repeat(np.arange(slots), fan), np.empty(int(self.begin[-1]), np.int64)
-        self.id, score = np.empty(len(self.target), np.int32), np.empty(len(self.target))
+        begin = np.concatenate([[0], np.cumsum(fan)])
+        place = begin[:-1].copy()
+        source, target = np.repeat(np.arange(len(new)), fan), np.empty(int(begin[-1]), np.int64)
+        piece, score = np.empty(len(target), np.int32), np.empty(len(target))
         while froms:  # what has been placed is let go
             a, b, i, v = (x.pop() for x in (froms, tos, ids, scores))
-            at = place[a]
-            self.target[at], self.id[at], score[at] = b, i, v
+            e = place[a]
+            target[e], piece[e], score[e] = b, i, v
             place[a] += 1
-        self.text = np.zeros(slots, np.uint8)
-        self.text[slot] = text
-
-        end_of = np.empty(slots, np.int64)
-        end_of[slot] = self.last[unit]
-        end_of[self.last] = self.last
-        beta = np.full(slots, -np.inf)
-        beta[self.last] = 0.0
-        away = (end_of - np.arange(slots)).astype(np.uint16 if lens.max() < 1 << 16 else np.int64)[self.source]
-        turn = np.argsort(away, kind="stable")
-        far = away[turn]
-        del away
-        levels = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1]]))
-        for a, b in zip(levels.tolist(), [*levels[1:].tolist(), len(far)], strict=True):
-            e = turn[a:b]
-            v = score[e] + beta[self.target[e]]
-            s = self.source[e]
-            new = np.flatnonzero(np.diff(s, prepend=-1))
-            top = np.maximum.reduceat(v, new)
+
+        self._put("beta", base, np.full(len(new), -np.inf))
+        beta = self.beta
+        levels = np.flatnonzero(np.diff(left, prepend=-1)).tolist()
+        for a, b in zip(levels, [*levels[1:], len(left)], strict=True):
+            e, end = begin[a], begin[b]
+            v = score[e:end] + beta[target[e:end]]
+            group = begin[a:b] - e
+            top = np.maximum.reduceat(v, group)
             top = np.where(np.isfinite(top), top, 0.0)
             with np.errstate(divide="ignore"):
-                beta[s[new]] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, np.diff(np.append(new, len(s))))), new))
-        del turn, far
+                beta[base + a : base + b] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, fan[a:b])), group))
         with np.errstate(invalid="ignore"):
-            score += beta[self.target]
-            score -= beta[self.source]
+            score += beta[target]
+            score -= np.repeat(beta[base:], fan)
         score[np.isnan(score)] = -np.inf
-        self.log_share = score
-        self.upto = np.cumsum(np.exp(score))
-        self.upto -= np.where(self.begin[:-1] > 0, self.upto[self.begin[:-1] - 1], 0.0)[self.source]
-        final = np.flatnonzero(np.diff(self.source, append=-1))
-        self.upto[final] = np.inf
-
-    def pick(self, slots: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """The edge out of each slot that the uniform number falls on."""
-        edge = self.begin[slots]
+
+        upto = np.exp(score)
+        many = np.flatnonzero(fan > 1)
+        nth = 1
+        while len(many):  # summed within a node, so that it doesn't depend on what else is built
+            e = begin[many] + nth
+            upto[e] += upto[e - 1]
+            nth += 1
+            many = many[fan[many] > nth]
+        upto[begin[1:] - 1] = np.inf
+
+        alone = fan[source] == 1
+        with np.errstate(divide="ignore"):
+            other = np.log(np.maximum(-np.expm1(score), 0.0))
+        other[alone] = -np.inf
+        sure = np.flatnonzero(~alone & (score > -1e-9))
+        if len(sure):  # next to certain: sum the others themselves
+            n = fan[source[sure]]
+            group = np.cumsum(n) - n
+            others = score[np.repeat(begin[source[sure]] - group, n) + np.arange(int(n.sum()))]
+            others[group + sure - begin[source[sure]]] = -np.inf
+            other[sure] = np.logaddexp.reduceat(others, group)
+
+        lead = text[np.minimum(heads[:, None] + np.arange(4), len(text) - 1)]
+        for name, at, values in (("begin", base, begin + edges), ("left", base, left), ("lead", base, lead), ("target", edges, target),
+                                 ("id", edges, piece), ("log_share", edges, score), ("log_rest", edges, other), ("upto", edges, upto)):
+            self._put(name, at, values)
+
+    def source(self, edges: np.ndarray | int) -> np.ndarray:
+        """The node that each edge leaves."""
+        return np.searchsorted(self.begin, edges, "right") - 1
+
+    def pick(self, nodes: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The edge out of each node that the uniform number falls on."""
+        edge = self.begin[nodes]
         on = np.flatnonzero(u > self.upto[edge])
         while len(on):
             edge[on] += 1
@@ -209,11 +327,11 @@ def _uniform(key: np.ndarray, step: int) -> np.ndarray:
     return ((mix(key + np.multiply(U64(step + 1), _STEP[0:1])) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _walk(lattice: Lattice, slots: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Follow the posterior from each slot to its unit's end: the edges in order, and how many each walk has."""
-    live, at = np.flatnonzero(slots != ends), slots.copy()
+def _walk(lattice: Lattice, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Follow the posterior from each node to its unit's end: the edges in order, and how many each walk has."""
+    live, at = np.flatnonzero(nodes), nodes.copy()
     walked: list[tuple[np.ndarray, np.ndarray]] = []
-    counts = np.zeros(len(slots), np.int64)
+    counts = np.zeros(len(nodes), np.int64)
     step = 0
     while len(live):
         edge = lattice.pick(at[live], _uniform(keys[live], step))
@@ -221,7 +339,7 @@ def _walk(lattice: Lattice, slots: np.ndarray, ends: np.ndarray, keys: np.ndarra
         counts[live] += 1
         to = lattice.target[edge]
         at[live] = to
-        live = live[to != ends[live]]
+        live = live[to != 0]
         step += 1
     offsets = np.cumsum(counts) - counts
     out = np.empty(int(counts.sum()), np.int64)
@@ -238,14 +356,22 @@ def _below(bound: float, loc: np.ndarray, noise: np.ndarray) -> np.ndarray:
     return np.where(np.isneginf(loc), -np.inf, out)
 
 
+def _below_one(bound: float, loc: float, noise: float) -> float:
+    """``_below`` for a single finite bound."""
+    if loc == -math.inf:
+        return loc
+    a, b = -bound, math.log(-math.log(noise)) - loc
+    return -max(a, b) - math.log1p(math.exp(-abs(a - b)))
+
+
 class _Path:
     """One sampled segmentation of a document: its edges, the unit of each, and the values of the siblings.
 
     The siblings far down, after a prefix of hardly any probability, are held as one: ``far`` is the largest value among
-    them, drawn like any other.  Where that value is popped, ``deal`` gives it to one of them and the rest their values below it.
+    them, drawn like any other from ``noise``.  Where that value is popped, ``deal`` gives it to one of them and the rest their values below it.
     """
 
-    def __init__(self, edges: np.ndarray, units: np.ndarray, value: float, lattice: Lattice, key: np.uint64, fresh: int):
+    def __init__(self, edges: np.ndarray, units: np.ndarray, value: float, lattice: Lattice, key: np.uint64, fresh: int, noise: float):
         self.edges, self.units, self.value, self.lattice, self.key = edges, units, value, lattice, key
         share = lattice.log_share[edges]
         self.logp = float(share.sum())
@@ -264,25 +390,15 @@ class _Path:
             self.siblings[fresh:] = _below(value, self._places(fresh, n, self.upto), self._noise(fresh, n))
         if self.fresh < len(edges):
             at = float(share[: self.fresh].sum())
-            with np.errstate(divide="ignore"):
-                loc = at + np.log(-np.expm1(min(self.logp - at, 0.0)))
-            self.far = float(_below(value, np.array([loc]), _uniform(key + np.multiply(U64(len(edges)), _STEP[1:2]), 3))[0])
+            part = -math.expm1(min(self.logp - at, 0.0))
+            self.far = _below_one(value, at + math.log(part) if part > 0 else -math.inf, noise)
 
     def _noise(self, a: int, b: int) -> np.ndarray:
         return _uniform(self.key + np.arange(a, b, dtype=U64) * _STEP[1], 0)
 
     def _places(self, a: int, b: int, upto: np.ndarray) -> np.ndarray:
         """Log-probability of the paths that leave at each of the steps ``a`` to ``b``."""
-        part = self.lattice.log_share[self.edges[a:b]]
-        slot = self.lattice.source[self.edges[a:b]]
-        alone = self.lattice.begin[slot + 1] - self.lattice.begin[slot] == 1
-        with np.errstate(divide="ignore"):
-            rest = np.log(np.maximum(-np.expm1(part), 0.0))
-            rest[alone] = -np.inf
-            for i in np.flatnonzero(~alone & (part > -1e-9)).tolist():  # next to certain: sum the others themselves
-                others = np.delete(self.lattice.log_share[self.lattice.begin[slot[i]] : self.lattice.begin[slot[i] + 1]], self.edges[a + i] - self.lattice.begin[slot[i]])
-                rest[i] = np.logaddexp.reduce(others)
-        return upto[a:b] + rest
+        return upto[a:b] + self.lattice.log_rest[self.edges[a:b]]
 
     def deal(self) -> None:
         """Replace the common value of the siblings far down by their own."""
@@ -298,8 +414,11 @@ class _Path:
         self.far = -np.inf
 
 
-def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int) -> list[list[tuple]]:
-    """For each text its ``k`` samples (ids, logp, value, inclusion) in falling order of value; fewer if there are fewer."""
+def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, keys: np.ndarray, k: int, lattice: Lattice | None = None) -> list[list[tuple]]:
+    """For each text its ``k`` samples (ids, logp, value, inclusion) in falling order of value; fewer if there are fewer.
+
+    The ``lattice`` of former chunks spares building what it holds.
+    """
     n = len(bounds) - 1
     lens = np.diff(bounds)
     full = np.flatnonzero(lens > 0)
@@ -318,8 +437,8 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
     split[first] = True
     starts = np.flatnonzero(split)
     ends = np.append(starts[1:], len(text))
-    _, at, unit = np.unique(span_hashes(_BYTE[text], starts, ends), return_index=True, return_inverse=True)
-    lattice = Lattice(vocabulary, text, starts[at], ends[at])
+    lattice = Lattice(vocabulary) if lattice is None else lattice
+    first_node = lattice.units(text, starts, ends)
     per = np.append(np.searchsorted(starts, first), len(starts))
     doc = np.repeat(np.arange(len(full)), np.diff(per))
     ordinal = (np.arange(len(starts)) - per[doc]).astype(U64)
@@ -329,15 +448,16 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
         return mix(seeds[doc[units]] + ordinal[units] * _STEP[2] + np.multiply(U64(sample), _STEP[3:4]))
 
     everything = np.arange(len(starts))
-    edges, counts = _walk(lattice, lattice.first[unit], lattice.last[unit], unit_keys(everything, 0))
+    edges, counts = _walk(lattice, first_node, unit_keys(everything, 0))
     ofs = np.concatenate([[0], np.cumsum(counts)])
     owner = np.repeat(everything, counts)
     with np.errstate(divide="ignore"):
         roots = -np.log(-np.log(_uniform(seeds, 7)))
+    far = _uniform(seeds + np.diff(ofs[per]).astype(U64) * _STEP[1], 3).tolist()
     paths: list[list[_Path]] = []
     for d in range(len(full)):
         a, b = ofs[per[d]], ofs[per[d + 1]]
-        paths.append([_Path(edges[a:b], owner[a:b], float(roots[d]), lattice, seeds[d], 0)])
+        paths.append([_Path(edges[a:b], owner[a:b], float(roots[d]), lattice, seeds[d], 0, far[d])])
 
     def best(d: int) -> tuple[float, int, int]:
         found = (-np.inf, 0, 0)
@@ -350,7 +470,10 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
         return found
 
     for sample in range(1, k):
-        todo, begin, start_slots, chosen = [], [], [], []
+        todo, begin, start_nodes, chosen = [], [], [], []
+        draws = seeds + np.multiply(U64(sample), _STEP[4:5])
+        turns, rests = _uniform(draws, 1).tolist(), _uniform(draws, 2).tolist()
+        own = mix(seeds + np.multiply(U64(sample), _STEP[5:6]))
         for d in range(len(full)):
             value, p, j = best(d)
             if value == -np.inf:
@@ -360,37 +483,37 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
                 value, p, j = best(d)
             path = paths[d][p]
             used = path.used.setdefault(j, [int(path.edges[j])])
-            slot = lattice.source[path.edges[j]]
-            options = np.setdiff1d(np.arange(lattice.begin[slot], lattice.begin[slot + 1]), used)
+            node = int(lattice.source(path.edges[j]))
+            options = [e for e in range(int(lattice.begin[node]), int(lattice.begin[node + 1])) if e not in used]
             share = np.exp(lattice.log_share[options])
-            draw = seeds[d : d + 1] + np.multiply(U64(sample), _STEP[4:5])
-            pick = int(options[min(int(np.searchsorted(np.cumsum(share), _uniform(draw, 1)[0] * share.sum())), len(options) - 1)])
+            pick = options[min(int(np.searchsorted(np.cumsum(share), turns[d] * share.sum())), len(options) - 1)]
             used.append(pick)
-            others = lattice.log_share[options[options != pick]]
-            loc = path.upto[j] + np.logaddexp.reduce(others) if len(others) else -np.inf
-            path.siblings[j] = _below(value, np.array([loc]), _uniform(draw, 2))[0]
+            others = [e for e in options if e != pick]
+            loc = path.upto[j] + np.logaddexp.reduce(lattice.log_share[others]) if others else -np.inf
+            path.siblings[j] = _below_one(value, float(loc), rests[d])
             here = int(path.units[j])
             span = np.arange(here, per[d + 1])
-            slots = lattice.first[unit[span]].copy()
-            slots[0] = lattice.target[pick]
+            nodes = first_node[span]
+            nodes[0] = lattice.target[pick]
             todo.append((d, value, p, j, len(span)))
             begin.append(span)
-            start_slots.append(slots)
+            start_nodes.append(nodes)
             chosen.append(pick)
         if not todo:
             break
         span = np.concatenate(begin)
-        edges, counts = _walk(lattice, np.concatenate(start_slots), lattice.last[unit[span]], unit_keys(span, sample))
+        edges, counts = _walk(lattice, np.concatenate(start_nodes), unit_keys(span, sample))
         ofs = np.concatenate([[0], np.cumsum(counts)])
         owner = np.repeat(span, counts)
-        at = 0
-        for (d, value, p, j, n_units), pick in zip(todo, chosen, strict=True):
-            a, b = ofs[at], ofs[at + n_units]
-            at += n_units
+        upto = ofs[np.concatenate([[0], np.cumsum([n_units for *_, n_units in todo])])]
+        sizes = np.diff(upto) + np.array([j + 1 for *_, j, _ in todo])
+        far = _uniform(own[[d for d, *_ in todo]] + sizes.astype(U64) * _STEP[1], 3).tolist()
+        for i, ((d, value, p, j, _), pick) in enumerate(zip(todo, chosen, strict=True)):
+            a, b = upto[i], upto[i + 1]
             path = paths[d][p]
             new = np.concatenate([path.edges[:j], [pick], edges[a:b]])
             units = np.concatenate([path.units[: j + 1], owner[a:b]])
-            paths[d].append(_Path(new, units, value, lattice, mix(seeds[d : d + 1] + np.multiply(U64(sample), _STEP[5:6]))[0], j + 1))
+            paths[d].append(_Path(new, units, value, lattice, own[d], j + 1, far[i]))
 
     out: list[list[tuple]] = [[] for _ in range(n)]
     for d, i in enumerate(full.tolist()):
@@ -400,11 +523,11 @@ def sample_chunk(vocabulary: Vocabulary, data: np.ndarray, bounds: np.ndarray, k
             bare = np.flatnonzero(ids < 0)
             if len(bare):
                 width = np.ones(len(ids), np.int64)
-                width[bare] = lattice.target[path.edges[bare]] - lattice.source[path.edges[bare]]
+                width[bare] = lattice.left[lattice.source(path.edges[bare])] - lattice.left[lattice.target[path.edges[bare]]]
                 ids = np.repeat(ids, width)
                 within = np.arange(len(ids)) - np.repeat(np.cumsum(width) - width, width)
                 hole = np.flatnonzero(ids < 0)
-                ids[hole] = vocabulary.byte_ids[lattice.text[np.repeat(lattice.source[path.edges], width)[hole] + within[hole]]]
+                ids[hole] = vocabulary.byte_ids[lattice.lead[lattice.source(np.repeat(path.edges, width)[hole]), within[hole]]]
             inclusion = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(path.logp - limit, 700.0))))
             out[i].append((ids, path.logp, path.value, inclusion))
     return out
@@ -438,11 +561,12 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
+        lattice = Lattice(voc)
         for batch in batches:
             row_ids = batch.column(0)
             keys = row_ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64) * _STEP[6] + U64(seed)
             for chunk in text_chunks(batch.column(1), _CHUNK):
-                found = sample_chunk(voc, chunk.data, chunk.bounds, keys[chunk.first : chunk.first + len(chunk)], k)
+                found = sample_chunk(voc, chunk.data, chunk.bounds, keys[chunk.first : chunk.first + len(chunk)], k, lattice)
                 rows, ids, stats = [], [], []
                 for i, samples in enumerate(found):
                     for j, (pieces, logp, value, inclusion) in enumerate(samples or [(np.zeros(0, np.int32), 0.0, 0.0, 1.0)]):
@@ -456,6 +580,8 @@ def sample_segmentations(docs: DataFrame, vocabulary: Vocabulary, k: int = SAMPL
                      pa.array(logp), pa.array(value), pa.array(inclusion), pa.array(whole)],
                     ["doc_id", "sample", "ids", "logp", "value", "inclusion", "decoded"],
                 )
+        lattice = None
+        give_back()
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(run, "doc_id long, sample int, ids array<int>, logp double, value double, inclusion double, decoded boolean")

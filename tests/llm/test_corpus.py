@@ -168,6 +168,28 @@ def test_components_of_a_long_path_and_a_hub(spark, monkeypatch):
     assert got == {x: min(ids[:201]) for x in ids[:201]} | {x: min(ids[250:]) for x in ids[250:]}
 
 
+def test_components_of_few_edges_take_few_jobs_and_equal_those_of_many(spark, monkeypatch):
+    rng, status = random.Random(7), spark.sparkContext.statusTracker()
+    ids = rng.sample(range(-500, 5000), 300)
+    edges = [*((rng.randrange(600), rng.randrange(600)) for _ in range(350)), *zip(ids[:200], ids[1:201], strict=True), (None, 3), (4, 4)]
+    frame, got, jobs = spark.createDataFrame(edges, "u long, v long"), [], []
+    for most in (graph.PART, 50):
+        monkeypatch.setattr(graph, "PART", most)
+        spark.sparkContext.setJobGroup(f"components {most}", "")
+        got.append(sorted(graph.components(frame).collect()))
+        jobs.append(len(status.getJobIdsForGroup(f"components {most}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got[0] == got[1] and len(got[0]) > 400
+    assert jobs[0] <= 8 < jobs[1]
+
+
+def test_every_checkpoint_lets_the_driver_give_memory_back(spark, monkeypatch):
+    assert isinstance(R.driver_gives_back(spark), bool)  # not every JVM can
+    called = []
+    monkeypatch.setattr(R, "driver_gives_back", called.append)
+    assert R.steady(spark.range(3)).count() == 3 and called == [spark]
+
+
 # 2
 
 

@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.rows import dealt_join, steady
 
 
-#: edges to a task: a round has several shuffles, which should not have more tasks than the edges ask for
+#: edges to a task: a round has several shuffles, which should not have more tasks than the edges ask for; so many at most are one task's work
 PART = 250_000
 
 
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct nodes of the edges (u, v), and for each the smallest node reachable."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        open_ = x != y
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    return nodes, nodes[root]
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (u, v) of the task."""
+    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if held:
+        nodes, roots = smallest_reachable(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["node", "root"])
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
@@ -22,7 +49,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs every neighbour above a node on the smallest neighbour, then every neighbour below;
     the number of edges never grows and the depth shrinks by about half.  Rounds go on until nothing changes, about
     the logarithm of the longest path.  No group is collected: the minima are map-side aggregates joined back, the edges
-    of a hub being dealt over tasks.  Nulls, self links and repeated links are ignored; an empty input gives an empty result.
+    of a hub being dealt over tasks.  At most PART edges are gone through in one task instead, with the same result: the
+    rounds' many plans would take more of the driver than of the executors.  Nulls, self links and repeated links are ignored; an
+    empty input gives an empty result.
     """
     now = steady(
         edges.where("u is not null and v is not null and u <> v")
@@ -30,6 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
         .distinct()
     )
     before, state = None, _state(now)
+    if state[0] <= PART:
+        return steady(now.coalesce(1).mapInArrow(_roots, "node long, root long"))
     parts = max(1, -(-state[0] // PART))  # the edges never grow in number
     while state != before:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)

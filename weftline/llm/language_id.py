@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.rows import Chunk, give_back, ragged, small_batches, text_chunks
+from weftline.llm.rows import Chunk, driver_gives_back, give_back, ragged, small_batches, text_chunks
 
 DIMS = 8192
 #: training documents that the centroids are fitted on, all languages together
@@ -202,6 +202,7 @@ def fit(train: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, lang
         del x
     del rows
     give_back()
+    driver_gives_back(train.sparkSession)
     return Model(idf, np.concatenate(centres) if centres else np.zeros((0, DIMS), np.float32), langs, least)
 
 
